@@ -154,7 +154,7 @@ def links(nodes: DataFrame, words: int, threshold: int) -> DataFrame:
                 last = b["anchor"].iloc[-1] >> 1
                 if held[0]["anchor"].iloc[0] >> 1 != last:  # an anchor's rows may go on in the next batch
                     all_rows = pd.concat(held, ignore_index=True)
-                    done = all_rows["anchor"] >> 1 != last
+                    done = all_rows["anchor"] // 2 != last
                     yield run(all_rows[done])
                     held = [all_rows[~done].reset_index(drop=True)]
         if held:
