@@ -28,15 +28,31 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: lineage ends here and a lost executor costs no recomputation.
 
-    The files go when the driver's JVM ends.
+    Then the driver's JVM collects its garbage, so that Spark removes the shuffle files of what is over; else they would
+    fill disks until memory runs low. The table's files go with discard(), or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorekeep-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    _fs(spark, path).deleteOnExit(_path(spark, path))
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lorekeep_path = path
+    return out
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _fs(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by cut() which nothing reads any more."""
+    for t in tables:
+        _fs(t.sparkSession, t._lorekeep_path).delete(_path(t.sparkSession, t._lorekeep_path), True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

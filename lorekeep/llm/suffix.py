@@ -14,10 +14,11 @@ Consecutive windows share anchors; an anchor stands for a run of windows.
   round 2  what is left are anchors whose surroundings differ in part. One representative of each round-1 class is
            ranked by the pairs (round-0 rank, the NEXT bytes to the right) and (round-0 rank, the NEXT bytes to the left): every
            window of the run contains one of the two whole. Unique pairs go.
-  round 3  the windows of what is left are ranked by themselves: (round-2 rank, window), past the threshold.
+  round 3  the windows of what is left are ranked by themselves: (round-2 rank, window), past the threshold; where a
+           round-2 class has at most GROUP members, inside the task that already holds the class.
 
 All hashes that rank are of 64 bits and used in pairs, 128 bits in all. Counts are partial aggregates, so a class that
-holds a third of all rows is summed before it is moved; no class is collected.
+holds a third of all rows is summed before it is moved; no class of unbounded size is collected.
 
 Null texts are empty; texts shorter than length lose nothing. Repeated rows are copies of each other. Matches don't
 cross documents, but may lie in one. Overlaps count.
@@ -37,6 +38,7 @@ from . import common
 
 LENGTH = 200
 SEED = 32
+GROUP = 8192
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _TABLE = np.random.default_rng(200).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -139,6 +141,7 @@ def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     alive = found.groupBy("g").agg(F.count("*").alias("n_g")).where("n_g > 1").select("g")
     live = common.cut(found.join(alive, "g"), "live")
+    common.discard(found)
     first = [F.first(c).alias(c) for c in ("row", "pos", "lo", "hi")]  # of one and the same row, any of the class
     one = common.cut(live.groupBy("g", "ctx").agg(F.count("*").alias("n"), *first), "classes")
 
@@ -148,13 +151,13 @@ def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     # rounds 2 and 3: representatives of classes whose seed occurs in other surroundings too
     mixed = one.join(one.groupBy("g").agg(F.count("*").alias("n_ctx")).where("n_ctx > 1").select("g"), "g")
     need = mixed.groupBy("row").agg(F.collect_list(F.struct("pos", "lo", "hi", "g", "ctx", "n")).alias("need"))
-    pair = src.join(need, "row").select("text", "need")
+    pair = src.join(need, "row").select("row", "text", "need")
 
     def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         half = (length - SEED) // 2
         for b in batches:
             out = []
-            for text, todo in zip(b["text"], b["need"]):
+            for row, text, todo in zip(b["row"], b["text"], b["need"]):
                 raw = text.encode("utf-8", "surrogatepass")
                 for x in todo:
                     p, lo, hi = x["pos"], x["lo"], x["hi"]
@@ -162,33 +165,69 @@ def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                         if l <= h:
                             # all windows p - h .. p - l hold these bytes
                             near = raw[p : p + length - half] if right else raw[p - half - 1 : p + SEED]
-                            out.append((x["g"], right, _digest(near), x["ctx"], x["n"], l, h, raw[p - h : p - l + length]))
-            yield pd.DataFrame(out, columns=["g", "right", "near", "ctx", "n", "l", "h", "bytes"]).assign(near=lambda d: _signed(d["near"].to_numpy(np.uint64) if len(d) else []))
-
-    halves = common.cut(common.small_batches(pair).mapInPandas(sides, "g long, right int, near long, ctx long, n long, l int, h int, bytes binary"), "halves")
-    kept = halves.join(halves.groupBy("g", "right", "near").agg(F.count("*").alias("m")).where("m > 1"), ["g", "right", "near"])
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                            out.append((x["g"], right, _digest(near), x["n"], row, p - h, p, raw[p - h : p - l + length]))
+            d = pd.DataFrame(out, columns=["g", "right", "near", "n", "row", "first", "pos", "bytes"])
+            yield d.assign(near=_signed(d["near"].to_numpy(np.uint64) if len(d) else []))
+
+    halves = common.cut(common.small_batches(pair).mapInPandas(sides, f"g long, right int, near long, n long, row {kind}, first int, pos int, bytes binary"), "halves")
+    size = halves.groupBy("g", "right", "near").agg(F.count("*").alias("m")).where("m > 1")
+    kept = halves.join(size, ["g", "right", "near"])
+
+    def windows(b: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        """Of all windows of the rows: place in b, start in the text, and their rank within (g, right, near)."""
+        data = np.frombuffer(b"".join(b["bytes"]), np.uint8)
+        sizes = b["bytes"].map(len).to_numpy()
+        n = sizes - length + 1
+        at = common.ragged(np.cumsum(sizes) - sizes, n)
+        start = common.ragged(b["first"].to_numpy(np.int64), n)
+        place = np.repeat(np.arange(len(b)), n)
+        back = (b["pos"].to_numpy(np.int64)[place] - start).astype(np.uint64)
+        w = _mix(rolling(data, length)[at], b["near"].to_numpy(np.int64).view(np.uint64)[place])
+        return place, start, _mix(w, back)
+
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(b: pd.DataFrame) -> pd.DataFrame:
+            place, start, w = windows(b)
+            w = _mix(w, b["g"].to_numpy(np.int64).view(np.uint64)[place])
+            _, inv, m = np.unique(w, return_inverse=True, return_counts=True)
+            use = (m[inv] > 1) & (b["n"].to_numpy() == 1)[place]
+            place, start = place[use], start[use]
+            new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)])) if len(place) else np.zeros(0, np.int64)
+            return pd.DataFrame({"row": b["row"].array[place[new]], "first": start[new], "last": start[np.concatenate([new[1:] - 1, [len(start) - 1]])] if len(new) else start})
+
+        held, n = [], 0
+        for b in batches:
+            if not len(b):
+                continue
+            held.append(b)
+            n += len(b)
+            if n >= 4096:
+                every = pd.concat(held, ignore_index=True)
+                end = every[["g", "right", "near"]].iloc[-1]
+                over = ((every[["g", "right", "near"]] != end).any(axis=1)).to_numpy()
+                if over.any():
+                    yield run(every[over].reset_index(drop=True))
+                held = [every[~over].reset_index(drop=True)]
+                n = len(held[0])
+        if held:
+            yield run(pd.concat(held, ignore_index=True))
+
+    key = ["g", "right", "near"]
+    few = kept.where(F.col("m") <= GROUP).repartition(*key).sortWithinPartitions(*key).mapInPandas(inside, f"row {kind}, first int, last int")
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k in range(0, len(b), 4096):
-                part = b.iloc[k : k + 4096]
-                data = np.frombuffer(b"".join(part["bytes"]), np.uint8)
-                size = part["bytes"].map(len).to_numpy()
-                w = rolling(data, length)
-                n = (part["h"] - part["l"] + 1).to_numpy()
-                starts = np.cumsum(size) - size
-                idx = common.ragged(starts, n)
-                back = np.repeat(part["h"].to_numpy() + starts, n) - idx  # places before the anchor
-                rep = lambda c: np.repeat(part[c].to_numpy(), n)  # noqa: E731, B023
-                yield pd.DataFrame({"g": rep("g"), "w": _signed(_mix(w[idx], rep("near").view(np.uint64))), "back": back.astype(np.int32), "ctx": rep("ctx"), "n": rep("n")})
-
-    each = kept.select("g", "near", "ctx", "n", "l", "h", "bytes").mapInPandas(windows, "g long, w long, back int, ctx long, n long")
-    each = common.cut(each, "windows")
-    twice = each.groupBy("g", "back", "w").agg(F.count("*").alias("m")).where("m > 1")
-    single = each.where("n = 1").join(twice, ["g", "back", "w"]).select("g", "ctx", "back")
-    rows = mixed.where("n = 1").select("g", "ctx", "row", "pos")
-    part = single.join(rows, ["g", "ctx"]).select("row", (F.col("pos") - F.col("back")).alias("first"), (F.col("pos") - F.col("back")).alias("last"))
-    return whole.unionByName(part).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+                own = b.iloc[k : k + 4096].reset_index(drop=True)
+                place, start, w = windows(own)
+                row = own["row"].where(own["n"] == 1, None).array[place]
+                yield pd.DataFrame({"g": own["g"].to_numpy()[place], "w": _signed(w), "row": row, "first": start})
+
+    each = kept.where(F.col("m") > GROUP).mapInPandas(spread, f"g long, w long, row {kind}, first int")
+    many = common.cut(each, "windows")
+    twice = many.groupBy("g", "w").agg(F.count("*").alias("m")).where("m > 1").select("g", "w")
+    many = many.where("row IS NOT NULL").join(twice, ["g", "w"]).select("row", "first", F.col("first").alias("last"))
+    return whole.unionByName(few).unionByName(many).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
 def merge(spans, n_bytes: int, length: int) -> list[tuple[int, int]]:
