@@ -5,7 +5,7 @@ vocabulary entry is that id. The others become token-position rows; a recursive
 the merge table and contracts, in every piece, the leftmost pair of least rank, until no piece has a mergeable pair.
 Decoding joins ids with the vocabulary and aggregates the bytes in position order.
 
-Memory: texts are taken in units of UNIT_BYTES; the recursion runs in legs of at most LEG rounds, because DuckDB
+Memory: texts are taken in units of UNIT characters, pieces in lots of LOT; the recursion runs in legs of at most LEG rounds, because DuckDB
 keeps the rows of all rounds of one recursive query; the dictionary of known pieces is emptied at KNOWN_PIECES.
 Pieces longer than LONG_PIECE bytes contract all disjoint occurrences of the least pair at once where that is proven
 equal to one at a time (no merge with the new token ranks below it).
@@ -29,20 +29,24 @@ from . import common
 
 LEG = 32
 LONG_PIECE = 96
-KNOWN_PIECES = 200_000
+KNOWN_PIECES = 300_000
+UNIT = 1 << 20
+LOT = 20_000
 SHIFT = 1 << 36
 
-#: One leg: rows are (id, tok, round) with id = piece * SHIFT + position, positions of a piece without gaps.
+#: One leg: rows are (id, tok, nxt, round) with id = piece * SHIFT + position, positions of a piece without gaps, nxt the token after (-1: none).
 _LEG_SQL = """
-WITH RECURSIVE leg(id, tok, round) AS (
-  SELECT id, tok, 0 FROM state
+WITH RECURSIVE leg(id, tok, nxt, round) AS (
+  SELECT id, tok, nxt, 0 FROM state
   UNION ALL
-  SELECT l.id - (l.id > b.at)::BIGINT, CASE WHEN l.id = b.at THEN b.merged ELSE l.tok END, l.round + 1
+  SELECT l.id - (l.id > b.at)::BIGINT, CASE WHEN l.id = b.at THEN b.merged ELSE l.tok END,
+    CASE WHEN l.id = b.at THEN b.after WHEN l.id = b.at - 1 THEN b.merged ELSE l.nxt END, l.round + 1
   FROM leg l JOIN (
-    SELECT x.id // {shift} AS piece, min(m.merged * {shift} + x.id % {shift}) AS least,
-           least // {shift} AS merged, piece * {shift} + least % {shift} AS at
-    FROM leg x JOIN leg y ON y.id = x.id + 1 JOIN merges m ON m.pair = x.tok * 65536 + y.tok
-    GROUP BY 1) b ON b.piece = l.id // {shift}
+    SELECT c.piece, c.at, c.merged, s.nxt AS after FROM (
+      SELECT x.id // {shift} AS piece, min(m.merged * {shift} + x.id % {shift}) AS least,
+             least // {shift} AS merged, piece * {shift} + least % {shift} AS at
+      FROM leg x JOIN merges m ON m.pair = x.tok * 65536 + x.nxt
+      GROUP BY 1) c JOIN leg s ON s.id = c.at + 1) b ON b.piece = l.id // {shift}
   WHERE l.id <> b.at + 1 AND l.round < {leg})
 SELECT id, tok, round FROM leg
 """.format(shift=SHIFT, leg=LEG)
@@ -92,18 +96,22 @@ class Codec:
                     left.append(a), right.append(b), merged.append(rank)
         left, right, merged = (np.array(x, np.int64) for x in (left, right, merged))
         unsafe = np.union1d(left[merged < left], right[merged < right])
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB", "temp_directory": ""})
         self.db.register("m", pa.table({"pair": left * 65536 + right, "merged": merged, "safe": ~np.isin(merged, unsafe)}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.db.register("v", pa.table({"tok": np.array(list(self.ranks.values()), np.int64), "piece": [k.hex() for k in self.ranks]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.known: dict[str, int] = {}
+        self.digits = [str(i) for i in range(max(self.ranks.values()) + 1)]
+        self.whole = {s: i for k, i in self.ranks.items() if (s := k.decode("utf-8", "replace")).encode() == k}
         self._clear()
 
     def _clear(self) -> None:
-        self.known.clear()
-        self.flat, self.lengths, self.decimal = [], [], []
+        """Know just the vocabulary's own pieces."""
+        self.known = {s: i for i, s in enumerate(self.whole)}
+        self.used = len(self.whole)
+        self.pool = np.concatenate([np.array(list(self.whole.values()), np.int32), np.zeros(1 << 18, np.int32)])
+        self.lengths, self.decimal = [1] * self.used, [self.digits[i] for i in self.whole.values()]
 
     def contract(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of every piece, by recursive contraction from single bytes."""
@@ -119,7 +127,9 @@ class Codec:
             while len(ids):
                 import pyarrow as pa
 
-                self.db.register("state", pa.table({"id": ids, "tok": tok}))
+                nxt = np.append(tok[1:], -1)
+                nxt[:-1][ids[1:] // SHIFT != ids[:-1] // SHIFT] = -1
+                self.db.register("state", pa.table({"id": ids, "tok": tok, "nxt": nxt}))
                 got = self.db.execute(_LONG_LEG_SQL if long else _LEG_SQL).fetchnumpy()
                 self.db.unregister("state")
                 gid, gtok, ground = (np.asarray(got[k]).astype(np.int64) for k in ("id", "tok", "round"))
@@ -130,29 +140,28 @@ class Codec:
                 order = np.argsort(gid, kind="stable")
                 gid, gtok = gid[order], gtok[order]
                 over = last[gid // SHIFT] < LEG
-                where = gid[over] // SHIFT
-                cuts = np.flatnonzero(np.diff(where)) + 1
-                for w, run in zip(where[np.concatenate([[0], cuts])] if len(where) else [], np.split(gtok[over], cuts)):
-                    out[mine[int(w)]] = run.tolist()
+                where, done = gid[over] // SHIFT, gtok[over].tolist()
+                cuts = np.flatnonzero(np.diff(where, prepend=-1))
+                for w, x, y in zip(where[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(done)]):
+                    out[mine[w]] = done[x:y]
                 ids, tok = gid[~over], gtok[~over]
         return out
 
     def learn(self, pieces: list[str]) -> None:
         """Add the pieces that are not known."""
-        fresh = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        raw = [p.encode("utf-8", "surrogatepass") for p in fresh]
-        whole = [self.ranks.get(b) for b in raw]
-        todo = [i for i, w in enumerate(whole) if w is None]
-        made: dict[int, list[int]] = {}
-        for k in range(0, len(todo), 60_000):
-            part = todo[k : k + 60_000]
-            made.update(zip(part, self.contract([raw[i] for i in part])))
-        for i, p in enumerate(fresh):
-            ids = [whole[i]] if whole[i] is not None else made[i]
-            self.known[p] = len(self.lengths)
-            self.flat.append(np.array(ids, np.int32))
-            self.lengths.append(len(ids))
-            self.decimal.append(",".join(map(str, ids)))
+        fresh = list(set(pieces).difference(self.known))
+        for k in range(0, len(fresh), LOT):
+            part = fresh[k : k + LOT]
+            made = self.contract([p.encode("utf-8", "surrogatepass") for p in part])
+            n = sum(map(len, made))
+            while self.used + n > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.int32)])
+            self.pool[self.used : self.used + n] = [i for ids in made for i in ids]
+            self.used += n
+            self.known.update(zip(part, range(len(self.lengths), len(self.lengths) + len(part))))
+            self.lengths += map(len, made)
+            digits = self.digits
+            self.decimal += [",".join([digits[x] for x in ids]) for ids in made]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """All ids one text after the other, the number of ids of each text, and each text's ids as decimals joined by commas."""
@@ -163,9 +172,8 @@ class Codec:
         at = [[self.known[p] for p in own] for own in pieces]
         lengths = np.array(self.lengths + [0], np.int64)
         starts = np.cumsum(lengths) - lengths
-        pool = np.concatenate([*self.flat, np.zeros(0, np.int32)])
         rows = np.array([i for own in at for i in own], np.int64)
-        ids = pool[common.ragged(starts[rows], lengths[rows])]
+        ids = self.pool[common.ragged(starts[rows], lengths[rows])]
         counts = np.array([int(lengths[own].sum()) if own else 0 for own in at], np.int64)
         return ids, counts, [",".join([self.decimal[i] for i in own]) for own in at]
 
@@ -200,7 +208,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         c = codec(ranks_path, pattern)
         for b in batches:
             texts = b["text"].tolist()
-            for lo, hi in common.units(texts):
+            for lo, hi in common.units(texts, UNIT):
                 ids, counts, _ = c.encode(texts[lo:hi])
                 yield pd.DataFrame({"id": b["id"].iloc[lo:hi].array, "ids": np.split(ids, np.cumsum(counts)[:-1])})
 
@@ -231,7 +239,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             texts = b["text"].tolist()
-            for lo, hi in common.units(texts):
+            for lo, hi in common.units(texts, UNIT):
                 ids, counts, decimals = c.encode(texts[lo:hi])
                 yield pd.DataFrame({
                     "id": b["id"].iloc[lo:hi].array,
