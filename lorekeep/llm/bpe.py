@@ -29,7 +29,7 @@ from . import common
 
 LEG = 32
 LONG_PIECE = 96
-KNOWN_PIECES = 300_000
+KNOWN_PIECES = 450_000
 UNIT = 1 << 20
 LOT = 20_000
 SHIFT = 1 << 36
@@ -43,13 +43,13 @@ WITH RECURSIVE leg(id, tok, nxt, round) AS (
     CASE WHEN l.id = b.at THEN b.after WHEN l.id = b.at - 1 THEN b.merged ELSE l.nxt END, l.round + 1
   FROM leg l JOIN (
     SELECT c.piece, c.at, c.merged, s.nxt AS after FROM (
-      SELECT x.id // {shift} AS piece, min(m.merged * {shift} + x.id % {shift}) AS least,
-             least // {shift} AS merged, piece * {shift} + least % {shift} AS at
-      FROM leg x JOIN merges m ON m.pair = x.tok * 65536 + x.nxt
-      GROUP BY 1) c JOIN leg s ON s.id = c.at + 1) b ON b.piece = l.id // {shift}
+      SELECT x.id >> 36 AS piece, min((m.merged << 36) + (x.id & {low})) AS least,
+             least >> 36 AS merged, (piece << 36) + (least & {low}) AS at
+      FROM leg x JOIN merges m ON m.pair = (x.tok << 16) + x.nxt
+      GROUP BY 1) c JOIN leg s ON s.id = c.at + 1) b ON b.piece = l.id >> 36
   WHERE l.id <> b.at + 1 AND l.round < {leg})
 SELECT id, tok, round FROM leg
-""".format(shift=SHIFT, leg=LEG)
+""".format(low=SHIFT - 1, leg=LEG)
 
 #: The same for long pieces: all disjoint occurrences of the least pair, or only the leftmost if its token is not safe.
 _LONG_LEG_SQL = """
@@ -99,7 +99,7 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB", "temp_directory": ""})
         self.db.register("m", pa.table({"pair": left * 65536 + right, "merged": merged, "safe": ~np.isin(merged, unsafe)}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
-        self.db.register("v", pa.table({"tok": np.array(list(self.ranks.values()), np.int64), "piece": [k.hex() for k in self.ranks]}))
+        self.db.register("v", pa.table({"tok": np.array(list(self.ranks.values()), np.int32), "piece": [k.hex() for k in self.ranks]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.digits = [str(i) for i in range(max(self.ranks.values()) + 1)]
@@ -169,7 +169,7 @@ class Codec:
         if len(self.known) > KNOWN_PIECES:
             self._clear()
         self.learn([p for own in pieces for p in own])
-        at = [[self.known[p] for p in own] for own in pieces]
+        at = [list(map(self.known.__getitem__, own)) for own in pieces]
         lengths = np.array(self.lengths + [0], np.int64)
         starts = np.cumsum(lengths) - lengths
         rows = np.array([i for own in at for i in own], np.int64)
@@ -184,9 +184,10 @@ class Codec:
         doc = np.repeat(np.arange(len(counts)), counts)
         if len(ids) and not set(np.unique(ids).tolist()) <= set(self.ranks.values()):
             raise ValueError("an id is not in the vocabulary")
-        self.db.register("tokens", pa.table({"doc": doc, "pos": np.arange(len(ids)), "tok": ids.astype(np.int64)}))
+        self.db.register("tokens", pa.table({"doc": doc.astype(np.int32), "pos": np.arange(len(ids), dtype=np.int32), "tok": ids.astype(np.int32)}))
         got = self.db.execute(
-            "SELECT doc, string_agg(piece, '' ORDER BY pos) AS bytes FROM tokens JOIN vocabulary USING (tok) GROUP BY doc"
+            # one thread aggregates rows as they come, so sorting all once replaces a sort of every group
+            "SELECT doc, string_agg(piece, '') AS bytes FROM (SELECT doc, piece FROM tokens JOIN vocabulary USING (tok) ORDER BY pos) GROUP BY doc"
         ).fetchall()
         self.db.unregister("tokens")
         out = [b""] * len(counts)
