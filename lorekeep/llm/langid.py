@@ -116,7 +116,7 @@ def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", n: int =
                 v = _unit(bundles(texts[lo:hi], n, dim)).astype(np.float64)
                 for lang in dict.fromkeys(langs[lo:hi]):
                     total[lang] = total.get(lang, 0) + v[langs[lo:hi] == lang].sum(axis=0)
-        yield pd.DataFrame({"lang": list(total), "part": list(total.values())})
+        yield pd.DataFrame({"lang": pd.Series(list(total), dtype=object), "part": pd.Series(list(total.values()), dtype=object)})
 
     src = common.small_batches(df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL"))
     sums = (
