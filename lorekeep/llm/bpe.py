@@ -16,6 +16,7 @@ Null and empty texts give no ids. Repeated rows give repeated results. Only the
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +30,7 @@ from . import common
 
 LEG = 32
 LONG_PIECE = 96
-KNOWN_PIECES = 450_000
+KNOWN_PIECES = 600_000
 UNIT = 1 << 20
 LOT = 20_000
 SHIFT = 1 << 36
@@ -165,6 +166,15 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """All ids one text after the other, the number of ids of each text, and each text's ids as decimals joined by commas."""
+        collects = gc.isenabled()
+        gc.disable()  # no cycles are made below, but so many lists that the collector would walk the dictionary again and again
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         pieces = [self.pattern.findall(t) if t else [] for t in texts]
         if len(self.known) > KNOWN_PIECES:
             self._clear()
@@ -174,7 +184,8 @@ class Codec:
         starts = np.cumsum(lengths) - lengths
         rows = np.array([i for own in at for i in own], np.int64)
         ids = self.pool[common.ragged(starts[rows], lengths[rows])]
-        counts = np.array([int(lengths[own].sum()) if own else 0 for own in at], np.int64)
+        first = np.cumsum([0, *map(len, at)])
+        counts = np.diff(np.concatenate([[0], np.cumsum(lengths[rows])])[first])
         return ids, counts, [",".join([self.decimal[i] for i in own]) for own in at]
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
