@@ -84,6 +84,10 @@ class Ftrl:
         self.bn += g * g
 
 
+def sample_order(id_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.lit(5))
+
+
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """labelled: (id, text, y). Places and values of the weights that aren't zero, and the bias."""
 
@@ -97,9 +101,9 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCH
         at = np.flatnonzero(w)
         yield pd.DataFrame({"at": [*at.tolist(), -1], "w": [*w[at].tolist(), model.bias()]})
 
-    order = F.xxhash64(F.col("id"), F.lit(5))
-    sample = labelled.where("y IN (0, 1)").withColumn("o", order).orderBy("o", "id", "text", "y").limit(sample_rows)
-    fitted = common.small_batches(sample.repartition(1).sortWithinPartitions("o", "id", "text", "y").select("text", "y")).mapInPandas(train, "at long, w double")
+    # the sample's texts are all that moves: TakeOrdered leaves one partition in this order
+    sample = labelled.where("y IN (0, 1)").withColumn("o", sample_order("id")).orderBy("o", "id", "text", "y").limit(sample_rows)
+    fitted = common.small_batches(sample.coalesce(1).select("text", "y")).mapInPandas(train, "at long, w double")
     rows = fitted.collect()  # at most 2^BITS weights
     bias = next((r["w"] for r in rows if r["at"] == -1), 0.0)
     rows = sorted((r["at"], r["w"]) for r in rows if r["at"] >= 0)
@@ -122,12 +126,13 @@ def scorer(spark, model: tuple[np.ndarray, np.ndarray, float]):
     return score
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, modulus: int | None = 4, held_out: int = 2) -> DataFrame:
-    """(id, text, y) of documents that may be learned from."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, modulus: int | None = 4, held_out: int = 2, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(id, text, y) of documents that may be learned from: the sample_rows labelled ids of least hash, which is also the bound of what is broadcast."""
     y = labels.select("doc_id", F.col("toxic").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
     if modulus:
         y = y.where(common.crc_mod("doc_id", modulus) != held_out)
-    return docs.select(F.col("doc_id"), F.col("text")).join(y, "doc_id").select(F.col("doc_id").alias("id"), "text", "y")
+    y = y.orderBy(sample_order("doc_id"), "doc_id").limit(sample_rows)
+    return docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(y), "doc_id").select(F.col("doc_id").alias("id"), "text", "y")
 
 
 def score_column(docs: DataFrame, labels: DataFrame, text: str = "text", modulus: int | None = 4, **options) -> Column:
