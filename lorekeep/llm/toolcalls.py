@@ -40,22 +40,40 @@ def valid(arguments: Column, schema: dict[str, tuple[str, bool]]) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def levels(calls: DataFrame, max_levels: int = 1000) -> DataFrame:
-    """calls: (conv, id, needs array<string>). (conv, id, level) of those that can be ordered. One join a level; each level is written before the next."""
-    c = calls.select("conv", "id", F.array_distinct(F.coalesce("needs", F.array())).alias("needs")).dropDuplicates(["conv", "id"])
-    done = common.cut(c.where(F.size("needs") == 0).select("conv", "id", F.lit(0).alias("level")), "level")
-    left = c.where(F.size("needs") > 0)
-    for _ in range(max_levels):
+def levels(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """calls: (conv, id, needs array<string>). (conv, id, level) of those that can be ordered.
+
+    Chains of calls with one need each are followed by pointer doubling up to an anchor, a call that needs nothing or
+    several: rounds grow with the logarithm of a chain. Anchors with several needs then get their levels one depth
+    of them a round. Each round is written before the next.
+    """
+    c = common.cut(calls.select("conv", "id", F.array_distinct(F.coalesce("needs", F.array())).alias("needs")).dropDuplicates(["conv", "id"]), "calls")
+    anchor = F.size("needs") != 1
+    known = c.select("conv", F.col("id").alias("at"))
+    walk = c.where(~anchor).select("conv", "id", F.col("needs")[0].alias("at"), F.lit(1).alias("far")).join(known, ["conv", "at"], "left_semi")
+    walk = walk.unionByName(c.where(anchor).select("conv", "id", F.col("id").alias("at"), F.lit(0).alias("far")))
+    walk = common.cut(walk.join(c.where(anchor).select("conv", F.col("id").alias("at"), F.lit(True).alias("done")), ["conv", "at"], "left").fillna(False, ["done"]), "walk")
+    for _ in range(64):
+        if walk.where("NOT done").limit(1).count() == 0:
+            break
+        on = walk.select("conv", F.col("id").alias("at"), F.col("at").alias("at2"), F.col("far").alias("far2"), F.col("done").alias("done2"))
+        moved = walk.where("NOT done").join(on, ["conv", "at"]).select("conv", F.col("at2").alias("at"), "id", (F.col("far") + F.col("far2")).alias("far"), F.col("done2").alias("done"))
+        # a cycle's pointers never reach an anchor; no chain is as long as 2 ^ 30, so what has gone so far is one
+        walk = common.cut(walk.where("done").select("conv", "at", "id", "far", "done").unionByName(moved.where(F.col("done") | (F.col("far") < 1 << 30))), "walk")
+    level = common.cut(c.where(F.size("needs") == 0).select("conv", F.col("id").alias("at"), F.lit(0).alias("level")), "level")
+    left = c.where(F.size("needs") > 1)
+    for _ in range(max_rounds):
         if left.limit(1).count() == 0:
             break
         need = left.select("conv", "id", F.size("needs").alias("n"), F.explode("needs").alias("need"))
-        met = need.join(done.select("conv", F.col("id").alias("need"), "level"), ["conv", "need"]).groupBy("conv", "id").agg(F.count("*").alias("m"), F.max("level").alias("level"), F.max("n").alias("n")).where("m = n")
-        fresh = common.cut(met.select("conv", "id", (F.col("level") + 1).alias("level")), "level")
+        reach = walk.select("conv", F.col("id").alias("need"), "at", "far").join(level, ["conv", "at"]).select("conv", "need", (F.col("far") + F.col("level")).alias("level"))
+        met = need.join(reach, ["conv", "need"]).groupBy("conv", "id").agg(F.count("*").alias("m"), F.max("level").alias("level"), F.max("n").alias("n")).where("m = n")
+        fresh = common.cut(met.select("conv", F.col("id").alias("at"), (F.col("level") + 1).alias("level")), "fresh")
         if fresh.limit(1).count() == 0:
             break
-        done = common.cut(done.unionByName(fresh), "levels")
-        left = common.cut(left.join(fresh, ["conv", "id"], "left_anti"), "left")
-    return done
+        level = common.cut(level.unionByName(fresh), "level")
+        left = common.cut(left.join(fresh.select("conv", F.col("at").alias("id")), ["conv", "id"], "left_anti"), "left")
+    return walk.join(level, ["conv", "at"]).select("conv", "id", (F.col("far") + F.col("level")).alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:

@@ -197,6 +197,13 @@ def test_op6(spark, odd):
     assert got == {"a": (1, True, True), "b": (0, False, False), "c": (None, False, False), "d": (None, False, False), "e": (None, False, False)}
 
 
+def test_op6_levels(spark):
+    needs = {f"n{i}": [f"n{i - 1}"] if i else [] for i in range(100)} | {"m": ["n7", "n50"], "after": ["m"], "mm": ["after", "n99"], "x": ["y"], "y": ["x"], "z": ["x", "n1"], "lost": ["none"]}
+    rows = spark.createDataFrame([(1, k, v) for k, v in needs.items()], "conv long, id string, needs array<string>")
+    got = {r["id"]: r["level"] for r in toolcalls.levels(rows).collect()}
+    assert got == {f"n{i}": i for i in range(100)} | {"m": 51, "after": 52, "mm": 100}
+
+
 def test_op7_hot_code(spark):
     df = spark.createDataFrame([(i, 5 if i < 300 else i) for i in range(340)] + [(999, None)], "vec_id long, code long")
     got = hamming.top_k(df, df.where("vec_id IN (0, 320)"), k=10).orderBy("query_id", "rank").collect()
