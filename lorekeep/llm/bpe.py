@@ -259,6 +259,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
                     "ids_sha256": [sha(x.encode()) for x in decimals],
                     "decoded_sha256": [sha(x) for x in c.decode(ids, counts)],
                 })
+        common.give_back()
 
     src = common.small_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     kind = src.schema["id"].dataType.simpleString()

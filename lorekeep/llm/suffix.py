@@ -130,6 +130,7 @@ def _find(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame
             lo, hi = at - last, at - first
             ctx = _mix(np.array(ctx, np.uint64), (lo * 65_536 + hi).astype(np.uint64))
             yield pd.DataFrame({"row": rows[a:z][doc], "pos": (at - off[doc]).astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "g": _signed(h), "ctx": _signed(ctx)})
+    common.give_back()
 
 
 def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -34,7 +34,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=100_000)
 def word_hash(word: str) -> int:
     import xxhash
 
@@ -122,6 +122,8 @@ def scorer(spark, model: tuple[np.ndarray, np.ndarray, float]):
         for s in texts:
             out = [sigmoid(float(weights[features(t)].sum(dtype=np.float64)) + bias) for t in s]
             yield pd.Series(out, dtype="float64")
+        word_hash.cache_clear()  # the worker lives on, with other stages to come
+        common.give_back()
 
     return score
 
