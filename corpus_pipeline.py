@@ -7,11 +7,11 @@ shared folder and reads it again as the next stage's docs. All but the last retu
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm import bpe, mixing, simhash, suffix, toxicity
-from lorekeep.llm.common import cut, small_batches, table
+from lorekeep.llm.common import cut, numbered, small_batches, table
 
 #: No stage sequence with a model, fingerprints or a tokenizer can be expressed in SQL; tests hold it against brute force.
 ORACLE_SQL = None
@@ -20,7 +20,7 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that score below toxicity.THRESHOLD, by a model of all labelled documents. Null and empty texts have the bias's score."""
     score = toxicity.score_column(docs, table(spark, sf_dir, "labels"), modulus=None)
-    return small_batches(docs).withColumn("_score", score).where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    return small_batches(docs).where(score < toxicity.THRESHOLD)
 
 
 #: Five-word shingles, 192 bits; at most 32 differing bits, about a Jaccard similarity of 0.77 in the mean: of pairs at 0.8 few are lost to the estimate's spread.
@@ -29,13 +29,13 @@ NEAR = {"n": 5, "seeds": (42, 43, 44), "threshold": 32}
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of smallest doc_id (one row of it) stays. Null and empty texts are one group."""
-    marked = cut(small_batches(docs).withColumn("_fp", simhash.fingerprints(F.col("text"), NEAR["n"], NEAR["seeds"])).withColumn("_row", F.monotonically_increasing_id()).select("_row", "doc_id", "_fp"), "marked")
-    prints = marked.select(F.col("_fp").alias("fp"), F.col("doc_id").cast("long").alias("id"))
-    group = simhash.classes(prints, len(NEAR["seeds"]), NEAR["threshold"])
-    first = F.row_number().over(Window.partitionBy("_group").orderBy(F.col("doc_id").asc_nulls_last(), "_row"))
-    kept = marked.join(group, marked["_fp"] == group["fp"]).select("_row", "doc_id", F.coalesce("component", F.xxhash64("fp")).alias("_group")).withColumn("_nth", first).where("_nth = 1")
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(kept.select("_row"), "_row", "left_semi").drop("_row")
+    src, own = numbered(docs)
+    marked = cut(small_batches(src).select(F.col(own).alias("row"), F.col("doc_id").cast("long").alias("id"), simhash.fingerprints(F.col("text"), NEAR["n"], NEAR["seeds"]).alias("fp")), "marked")
+    group = simhash.classes(marked.select("fp", "id"), len(NEAR["seeds"]), NEAR["threshold"])
+    # a group of any size is reduced where its rows lie: first by fingerprint, then by component; null ids come last
+    least = marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first"))
+    kept = least.join(group, "fp").groupBy(F.coalesce("component", F.xxhash64("fp")).alias("group")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(own))
+    return src.join(kept, own, "left_semi").drop(own)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,6 +59,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: it tells rows apart and stays the same however often and with however many executors they are read.
+
+    It is the id where ids are unique and not null; else rows get a number each, and are written so that it stays.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    ids = docs.select(F.col(id_col).alias("id")).groupBy("id").count()
+    if ids.where("count > 1 OR id IS NULL").limit(1).count():
+        return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+    return docs.withColumn(name, F.col(id_col)), name
+
+
 def small_batches(df: DataFrame, rows: int = 2048) -> DataFrame:
     """df, with Arrow batches of a bounded number of rows and bytes in this session, unless it has its own setting."""
     conf = ship(df.sparkSession).conf

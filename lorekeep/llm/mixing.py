@@ -117,15 +117,18 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     Documents of which nothing is taken go. The row's text column is replaced in cut copies only.
     """
     cols = docs.columns
-    carried = [c for c in cols if c not in ("doc_id", "source")]
-    q = quotas(docs.withColumn("_row", F.struct(*cols)), keep=["_row"], **options)
-    full = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    left = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
-    copies = q.withColumn("_full", full).withColumn("_left", left).where((F.col("_full") > 0) | (F.col("_left") > 0))
-    copies = copies.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_full") + F.when(F.col("_left") > 0, 1).otherwise(0))))
-    words = F.regexp_extract_all(F.col("_row.text"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1)
+    src, own = common.numbered(docs, options.get("id_col", "doc_id"))
+    # texts stay out of the windows of quotas() and move once, to the join with what is taken
+    q = quotas(src.withColumn("_own", F.col(own)), keep=["_own"], **options).where("taken > 0").select("_own", "size", "taken", "first")
+    full = F.floor(F.col("taken") / F.col("size")).cast("int")
+    left = (F.col("taken") % F.col("size")).cast("int")
+    q = q.select("_own", F.struct("size", "first", full.alias("full"), left.alias("left")).alias("_take"))
+    text_col = options.get("text_col", "text")
+    copies = src.select(F.col(own).alias("_own"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row")).join(q, "_own")
+    copies = copies.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_take.full") + F.when(F.col("_take.left") > 0, 1).otherwise(0))))
+    words = F.regexp_extract_all(F.col(f"_row.`{text_col}`"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1)
     # from the first taken word on, round to the start where the ring's turn ends inside the document
-    ring = F.concat(F.slice(words, F.col("first").cast("int") + 1, F.col("_left")), F.slice(words, 1, F.greatest(F.lit(0), F.col("_left") - (F.col("size").cast("int") - F.col("first").cast("int")))))
-    text = F.when(F.col("_k") <= F.col("_full"), F.col("_row.text")).otherwise(F.array_join(ring, ""))
-    assert "text" in carried
-    return copies.select(*[text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in cols])
+    first, left = F.col("_take.first").cast("int"), F.col("_take.left")
+    ring = F.concat(F.slice(words, first + 1, left), F.slice(words, 1, F.greatest(F.lit(0), left - (F.col("_take.size").cast("int") - first))))
+    text = F.when(F.col("_k") <= F.col("_take.full"), F.col(f"_row.`{text_col}`")).otherwise(F.array_join(ring, ""))
+    return copies.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in cols])

@@ -253,11 +253,8 @@ def _cut_out(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) of every row."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # a row's identity: its id if ids are unique; repeated ids get a number each, cut so that it stays
-    if texts.groupBy("id").count().where("count > 1 OR id IS NULL").limit(1).count():
-        texts = common.cut(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
-    else:
-        texts = texts.withColumn("row", F.col("id"))
+    texts, own = common.numbered(texts, "id")
+    texts = texts.withColumnRenamed(own, "row")
     spans = repeated(texts.select("row", "text"), length)
     id_type = texts.schema["id"].dataType.simpleString()
     joined = texts.join(common.cut(spans, "spans"), "row", "left").select("id", "text", "spans")
@@ -276,10 +273,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     return common.small_batches(joined).mapInPandas(work, schema).withColumnRenamed("id", id_col)
 
 
-def with_kept_text(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
-    """docs with text_col cut to what stays, and _n_removed, the bytes cut. Characters that lose a byte go whole. docs must number alike when read again, as files do."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    spans = common.cut(repeated(numbered.select(F.col("_row").alias("row"), F.col(text_col).alias("text")), length), "spans")
+def with_kept_text(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with text_col cut to what stays, and _n_removed, the bytes cut. Characters that lose a byte go whole."""
+    src, own = common.numbered(docs, id_col)
+    spans = common.cut(repeated(src.select(F.col(own).alias("row"), F.col(text_col).alias("text")), length), "spans")
 
     @F.pandas_udf("text string, n long")
     def keep(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -293,6 +290,6 @@ def with_kept_text(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
             out.append((kept.decode("utf-8", "ignore"), len(raw) - len(kept)))
         return pd.DataFrame(out, columns=["text", "n"])
 
-    joined = common.small_batches(numbered).join(spans.withColumnRenamed("row", "_row"), "_row", "left")
-    joined = joined.withColumn("_kept", keep(F.col(text_col), F.col("spans")))
-    return joined.select(*[F.col("_kept.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.coalesce("_kept.n", F.lit(0)).alias("_n_removed"))
+    d, s = common.small_batches(src).alias("d"), spans.alias("s")
+    joined = d.join(s, F.col(f"d.{own}") == F.col("s.row"), "left").select("d.*", keep(F.col(f"d.`{text_col}`"), F.col("s.spans")).alias(f"{own}_kept"))
+    return joined.select(*[F.col(f"{own}_kept.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.coalesce(f"{own}_kept.n", F.lit(0)).alias("_n_removed"))
