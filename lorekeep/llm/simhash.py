@@ -34,8 +34,14 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 PART = 21
 
 
+def _scramble(h: np.ndarray, seed: int) -> np.ndarray:
+    h = (h ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
 def fingerprint(text: str | None, n: int, seeds: tuple[int, ...]) -> list[int]:
-    """One 64-bit fingerprint for each seed of XXH64 over the n-word shingles."""
+    """One 64-bit fingerprint for each seed: the first is XXH64's over the n-word shingles, each further one scrambles these hashes."""
     import xxhash
 
     words = _WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
@@ -49,16 +55,15 @@ def fingerprint(text: str | None, n: int, seeds: tuple[int, ...]) -> list[int]:
     starts = [0, *[e + 1 for e in ends[:-1]]]
     k = max(1, len(words) - n + 1)
     last = min(n, len(words)) - 1
-    digest = xxhash.xxh64_intdigest
-    out = []
-    for seed in seeds:
-        total = np.zeros(64, np.int64)
-        for lo in range(0, k, 65_536):
-            hi = min(k, lo + 65_536)
-            h = np.array([digest(line[a:b], seed) for a, b in zip(starts[lo:hi], ends[lo + last : hi + last])], np.uint64)
-            total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * total > k).tobytes(), "big"))
-    return out
+    digest, seed = xxhash.xxh64_intdigest, seeds[0]
+    total = np.zeros((len(seeds), 64), np.int64)
+    for lo in range(0, k, 65_536):
+        hi = min(k, lo + 65_536)
+        h = np.array([digest(line[a:b], seed) for a, b in zip(starts[lo:hi], ends[lo + last : hi + last])], np.uint64)
+        for i, other in enumerate(seeds):
+            own = h if i == 0 else _scramble(h, other)
+            total[i] += np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * t > k).tobytes(), "big") for t in total]
 
 
 def fingerprints(text: Column, n: int = 4, seeds: tuple[int, ...] = (42,)) -> Column:
@@ -86,17 +91,22 @@ def _home(x: Column) -> Column:
     return F.when(syndrome == 0, x).otherwise(x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (syndrome - 1).cast("int"))))
 
 
-def anchors(fp: str, words: int) -> Column:
-    """array<long> of 2 * anchor + lives: of each part the anchor at which a fingerprint lives (lives = 1) and those it visits."""
+def numbered_parts(fp: str, words: int) -> Column:
+    """array<struct<k, x, width>>: the parts of a fingerprint, numbered."""
     def of_part(k: int, bit: int, width: int) -> Column:
         x = F.shiftrightunsigned(F.element_at(F.col(fp), bit // 64 + 1), bit % 64).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        flips = F.array(*[F.lit(0 if b < 0 else 1 << b).cast("long") for b in range(-1, width)])
-        # the homes of all values within t = 1: just the anchors within R + t, for a perfect code
-        visits = F.array_distinct(F.transform(flips, lambda m: _home(x.bitwiseXOR(m))))
-        return F.transform(visits, lambda a: F.lit(k << 32).cast("long") + a * 2 + F.when(a == _home(x), 1).otherwise(0))
+        return F.struct(F.lit(k).cast("long").alias("k"), x.alias("x"), F.lit(width).alias("width"))
+
+    return F.array(*[of_part(k, bit, width) for k, (bit, width) in enumerate(parts(words))])
+
 
-    out = [of_part(k, bit, width) for k, (bit, width) in enumerate(parts(words))]
-    return F.concat(*out)
+def stops(part: str) -> Column:
+    """array<long> of 2 * anchor + lives: the anchor at which a part of a fingerprint lives (lives = 1) and those it visits."""
+    k, x, width = (F.col(f"{part}.{c}") for c in ("k", "x", "width"))
+    flips = F.slice(F.array(*[F.lit(0 if b < 0 else 1 << b).cast("long") for b in range(-1, PART + 1)]), F.lit(1), width + 1)
+    # the homes of all values within t = 1: just the anchors within R + t, for a perfect code
+    visits = F.array_distinct(F.transform(flips, lambda m: _home(x.bitwiseXOR(m))))
+    return F.transform(visits, lambda a: k * (1 << 32) + a * 2 + F.when(a == _home(x), 1).otherwise(0))
 
 
 def _grow(fp: np.ndarray, lives: np.ndarray, node: np.ndarray, threshold: int) -> list[tuple[int, int]]:
@@ -160,7 +170,8 @@ def links(nodes: DataFrame, words: int, threshold: int) -> DataFrame:
         if held:
             yield run(pd.concat(held, ignore_index=True))
 
-    spread = nodes.select("node", *[F.element_at("fp", i + 1).alias(c) for i, c in enumerate(own)], F.explode(anchors("fp", words)).alias("anchor"))
+    spread = nodes.select("node", *[F.element_at("fp", i + 1).alias(c) for i, c in enumerate(own)], F.explode(numbered_parts("fp", words)).alias("part"))
+    spread = spread.select("node", *own, F.explode(stops("part")).alias("anchor"))
     return spread.repartition(F.shiftright("anchor", 1)).sortWithinPartitions("anchor", "node").mapInPandas(compare, "a long, b long")
 
 
