@@ -140,9 +140,11 @@ def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     schema = f"row {kind}, pos int, lo int, hi int, g long, ctx long"
     found = common.cut(src.mapInPandas(lambda it: _find(it, length), schema), "anchors")
 
-    alive = found.groupBy("g").agg(F.count("*").alias("n_g")).where("n_g > 1").select("g")
+    # lists of classes are written before they are joined: then both sides of the join are plain exchanges, and adaptive
+    # execution can split a class that holds a third of all rows
+    alive = common.cut(found.groupBy("g").agg(F.count("*").alias("n_g")).where("n_g > 1").select("g"), "alive")
     live = common.cut(found.join(alive, "g"), "live")
-    common.discard(found)
+    common.discard(found, alive)
     first = [F.first(c).alias(c) for c in ("row", "pos", "lo", "hi")]  # of one and the same row, any of the class
     one = common.cut(live.groupBy("g", "ctx").agg(F.count("*").alias("n"), *first), "classes")
 
@@ -150,7 +152,8 @@ def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = live.join(one.where("n > 1").select("g", "ctx"), ["g", "ctx"]).select("row", (F.col("pos") - F.col("hi")).alias("first"), (F.col("pos") - F.col("lo")).alias("last"))
 
     # rounds 2 and 3: representatives of classes whose seed occurs in other surroundings too
-    mixed = one.join(one.groupBy("g").agg(F.count("*").alias("n_ctx")).where("n_ctx > 1").select("g"), "g")
+    varied = common.cut(one.groupBy("g").agg(F.count("*").alias("n_ctx")).where("n_ctx > 1").select("g"), "varied")
+    mixed = one.join(varied, "g")
     need = mixed.groupBy("row").agg(F.collect_list(F.struct("pos", "lo", "hi", "g", "ctx", "n")).alias("need"))
     pair = src.join(need, "row").select("row", "text", "need")
 
@@ -171,7 +174,7 @@ def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             yield d.assign(near=_signed(d["near"].to_numpy(np.uint64) if len(d) else []))
 
     halves = common.cut(common.small_batches(pair).mapInPandas(sides, f"g long, right int, near long, n long, row {kind}, first int, pos int, bytes binary"), "halves")
-    size = halves.groupBy("g", "right", "near").agg(F.count("*").alias("m")).where("m > 1")
+    size = common.cut(halves.groupBy("g", "right", "near").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
     kept = halves.join(size, ["g", "right", "near"])
 
     def windows(b: pd.DataFrame) -> tuple[np.ndarray, ...]:
@@ -226,7 +229,7 @@ def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     each = kept.where(F.col("m") > GROUP).mapInPandas(spread, f"g long, w long, row {kind}, first int")
     many = common.cut(each, "windows")
-    twice = many.groupBy("g", "w").agg(F.count("*").alias("m")).where("m > 1").select("g", "w")
+    twice = common.cut(many.groupBy("g", "w").agg(F.count("*").alias("m")).where("m > 1").select("g", "w"), "twice")
     many = many.where("row IS NOT NULL").join(twice, ["g", "w"]).select("row", "first", F.col("first").alias("last"))
     return whole.unionByName(few).unionByName(many).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
