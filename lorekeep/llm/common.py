@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -108,6 +108,18 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out + np.repeat(starts - (ends - lengths), lengths)
 
 
+#: What operators keep in a Python worker between tasks: how to drop it, by operator.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def begin(operator: str) -> None:
+    """A task begins: its worker, which may have served other operators, drops what those keep."""
+    for other, drop in HELD.items():
+        if other != operator:
+            drop()
+    give_back()
+
+
 def give_back() -> None:
     """Return freed memory of a Python worker to the system, where the C library can."""
     import ctypes

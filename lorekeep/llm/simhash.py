@@ -71,6 +71,7 @@ def fingerprints(text: Column, n: int = 4, seeds: tuple[int, ...] = (42,)) -> Co
 
     @F.pandas_udf("array<long>")
     def own(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        common.begin("simhash")
         for s in texts:
             yield pd.Series([np.array(fingerprint(t, n, seeds), np.uint64).view(np.int64) for t in s], dtype=object)
 
@@ -134,6 +135,7 @@ def links(nodes: DataFrame, words: int, threshold: int) -> DataFrame:
     own = [f"f{i}" for i in range(words)]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.begin("simhash")
         held: list[pd.DataFrame] = []
 
         def run(b: pd.DataFrame) -> pd.DataFrame:

@@ -39,6 +39,8 @@ from . import common
 LENGTH = 200
 SEED = 32
 GROUP = 8192
+#: Characters whose anchors are sought at once; a worker holds about 80 bytes for each.
+UNIT = 1 << 20
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _TABLE = np.random.default_rng(200).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -117,9 +119,10 @@ def _signed(x) -> np.ndarray:
 
 def _find(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     """Rounds 0 and 1: (row, pos, lo, hi, g, ctx) of every anchor; pos within its text, windows pos - hi .. pos - lo."""
+    common.begin("suffix")
     for b in batches:
         texts, rows = b["text"].tolist(), b["row"].to_numpy()
-        for a, z in common.units(texts):
+        for a, z in common.units(texts, UNIT):
             raw, data, off = _layout(texts[a:z])
             at, first, last, h = anchors(data, off, length)
             if not len(at):

@@ -92,6 +92,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCH
     """labelled: (id, text, y). Places and values of the weights that aren't zero, and the bias."""
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.begin("toxicity")
         rows = [(features(t), int(y)) for b in batches for t, y in zip(b["text"], b["y"])]
         model = Ftrl(min(12.0, max(1.0, 0.15 * len(rows) ** 0.5)))
         for _ in range(epochs):
@@ -116,6 +117,7 @@ def scorer(spark, model: tuple[np.ndarray, np.ndarray, float]):
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        common.begin("toxicity")
         at, w, bias = shared.value
         weights = np.zeros(1 << BITS, np.float32)
         weights[at] = w
