@@ -32,6 +32,8 @@ from .components import components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 PART = 21
+#: A task joins the links of its anchors and gives each linked node's to the least of its group; it holds about so many nodes.
+LINKED_NODES = 200_000
 
 
 def _scramble(h: np.ndarray, seed: int) -> np.ndarray:
@@ -138,7 +140,20 @@ def links(nodes: DataFrame, words: int, threshold: int) -> DataFrame:
         common.begin("simhash")
         held: list[pd.DataFrame] = []
 
-        def run(b: pd.DataFrame) -> pd.DataFrame:
+        low: dict[int, int] = {}  # of linked nodes: a smaller one of their group, or themselves
+
+        def find(x: int) -> int:
+            while (up := low.setdefault(x, x)) != x:
+                low[x] = low[up]
+                x = up
+            return x
+
+        def stars() -> pd.DataFrame:
+            out = [(root, x) for x in list(low) if (root := find(x)) != x]
+            low.clear()
+            return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+        def run(b: pd.DataFrame) -> None:
             anchor, node = b["anchor"].to_numpy(), b["node"].to_numpy()
             anchor, lives = anchor >> 1, anchor & 1 == 1
             fp = np.ascontiguousarray(b[own].to_numpy(np.int64)).view(np.uint64)
@@ -158,7 +173,9 @@ def links(nodes: DataFrame, words: int, threshold: int) -> DataFrame:
             pairs = [(int(p), int(q)) for p, q in zip(np.concatenate([*a, []]), np.concatenate([*c, []]))]
             for s, n in zip(starts[(sizes > 48) & some], sizes[(sizes > 48) & some]):
                 pairs += _grow(fp[s : s + n], lives[s : s + n], node[s : s + n], threshold)
-            return pd.DataFrame(sorted({(min(p), max(p)) for p in pairs}), columns=["a", "b"]).astype("int64")
+            for p, q in pairs:
+                p, q = find(p), find(q)
+                low[max(p, q)] = min(p, q)
 
         for b in batches:
             if len(b):
@@ -167,10 +184,13 @@ def links(nodes: DataFrame, words: int, threshold: int) -> DataFrame:
                 if held[0]["anchor"].iloc[0] >> 1 != last:  # an anchor's rows may go on in the next batch
                     all_rows = pd.concat(held, ignore_index=True)
                     done = all_rows["anchor"] // 2 != last
-                    yield run(all_rows[done])
+                    run(all_rows[done])
+                    if len(low) > LINKED_NODES:
+                        yield stars()
                     held = [all_rows[~done].reset_index(drop=True)]
         if held:
-            yield run(pd.concat(held, ignore_index=True))
+            run(pd.concat(held, ignore_index=True))
+        yield stars()
 
     spread = nodes.select("node", *[F.element_at("fp", i + 1).alias(c) for i, c in enumerate(own)], F.explode(numbered_parts("fp", words)).alias("part"))
     spread = spread.select("node", *own, F.explode(stops("part")).alias("anchor"))
