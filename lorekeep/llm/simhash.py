@@ -170,7 +170,7 @@ def links(nodes: DataFrame, words: int, threshold: int) -> DataFrame:
                 x = x[lives[x] | lives[x + d]]
                 x = x[np.bitwise_count(fp[x] ^ fp[x + d]).sum(axis=1) <= threshold]
                 a.append(node[x]), c.append(node[x + d])
-            pairs = [(int(p), int(q)) for p, q in zip(np.concatenate([*a, []]), np.concatenate([*c, []]))]
+            pairs = [(int(p), int(q)) for p, q in zip(np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*c, np.zeros(0, np.int64)]))]
             for s, n in zip(starts[(sizes > 48) & some], sizes[(sizes > 48) & some]):
                 pairs += _grow(fp[s : s + n], lives[s : s + n], node[s : s + n], threshold)
             for p, q in pairs:
@@ -198,11 +198,18 @@ def links(nodes: DataFrame, words: int, threshold: int) -> DataFrame:
 
 
 def classes(prints: DataFrame, words: int, threshold: int) -> DataFrame:
-    """prints: (fp, id). (fp, component): the smallest id reachable over links, itself included; null ids count last."""
-    nodes = common.cut(prints.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.coalesce("least", F.xxhash64("fp"))), "nodes")
+    """prints: (fp, id). (fp, component): the smallest id reachable over links, itself included; null ids count last.
+
+    Nodes are numbered in the order of their smallest ids, null ids after all others. A linked group without any id
+    has the hash of its first fingerprint.
+    """
+    # numbers grow over range partitions; written, they stay
+    least = prints.groupBy("fp").agg(F.min("id").alias("least")).orderBy(F.col("least").asc_nulls_last(), "fp")
+    nodes = common.cut(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
     found = components(links(nodes.select("node", "fp"), words, threshold))
-    joined = nodes.join(found, "node", "left")
-    return joined.select("fp", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"))
+    labels = nodes.select(F.col("node").alias("component"), F.coalesce("least", F.xxhash64("fp")).alias("label"))
+    joined = nodes.join(found, "node", "left").join(labels, "component", "left")
+    return joined.select("fp", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("label")).alias("component"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 4, threshold: int = 4, seeds: tuple[int, ...] = (42,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -272,6 +272,15 @@ def test_op9_dense_and_chained(spark):
     assert {r["id"]: r["component"] for r in got.collect()} == brute_components(fps, 4)
 
 
+def test_op9_wide_and_null_ids(spark):
+    big = 2**60 + 1
+    rows = [(big, [0]), (big + 2, [1]), (big + 4, [2**40]), (None, [3]), (7, [-1]), (None, [-2]), (None, [0x0F0F0F0F0F0F0F0F]), (None, [0x0F0F0F0F0F0F0F0E])]
+    prints = spark.createDataFrame(rows, "id long, fp array<long>")
+    got = {r["fp"][0]: r["component"] for r in simhash.classes(prints, 1, 4).collect()}
+    assert {got[f] for f in (0, 1, 2**40, 3)} == {big} and got[-1] == got[-2] == 7
+    assert got[0x0F0F0F0F0F0F0F0F] == got[0x0F0F0F0F0F0F0F0E] is not None
+
+
 @pytest.mark.parametrize("which", ["odd", SF, "repeats"])
 def test_op10(spark, odd, which, monkeypatch, tmp_path):
     d = odd if which == "odd" else which
