@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe, mixing, simhash, suffix, toxicity
+from lorekeep.llm import bpe, jaccard, mixing, suffix, toxicity
 from lorekeep.llm.common import cut, numbered, small_batches, table
 
 #: No stage sequence with a model, fingerprints or a tokenizer can be expressed in SQL; tests hold it against brute force.
@@ -23,18 +23,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return small_batches(docs).where(score < toxicity.THRESHOLD)
 
 
-#: Five-word shingles, 256 bits; at most 44 differing bits, about a Jaccard similarity of 0.76 in the mean: of pairs at 0.8 few are lost to the estimate's spread.
-NEAR = {"n": 5, "seeds": (42, 43, 44, 45), "threshold": 44}
+#: Words of a shingle.
+NEAR = 5
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest doc_id (one row of it) stays. Null and empty texts are one group."""
+    """Of each group of near-duplicates, linked at a Jaccard similarity of 0.8 of their five-word shingles, the document of smallest doc_id (one row of it) stays. Null and empty texts are one group."""
     src, own = numbered(docs)
-    marked = cut(small_batches(src).select(F.col(own).alias("row"), F.col("doc_id").cast("long").alias("id"), simhash.fingerprints(F.col("text"), NEAR["n"], NEAR["seeds"]).alias("fp")), "marked")
-    group = simhash.classes(marked.select("fp", "id"), len(NEAR["seeds"]), NEAR["threshold"])
-    # a group of any size is reduced where its rows lie: first by fingerprint, then by component; null ids come last
-    least = marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first"))
-    kept = least.join(group, "fp").groupBy(F.coalesce("component", F.xxhash64("fp")).alias("group")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(own))
+    marked = small_batches(src).select(F.col(own).alias("row"), F.col("doc_id").cast("long").alias("id"), jaccard.signatures(F.col("text"), NEAR).alias("s")).select("row", "id", "s.*")
+    # a group of any size is reduced where its rows lie: first by shingle set, then by component; null ids come last
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "keys", "sketch")).alias("first")
+    nodes = cut(cut(marked, "marked").groupBy("whole").agg(least).select("first.*").withColumnRenamed("row", "node"), "nodes")
+    group = jaccard.groups(nodes.select("node", "keys", "sketch"), src.select(F.col(own).alias("node"), "text"), NEAR)
+    kept = nodes.join(group, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min(F.struct("last", "id", "node")).alias("first")).select(F.col("first.node").alias(own))
     return src.join(kept, own, "left_semi").drop(own)
 
 

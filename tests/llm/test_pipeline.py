@@ -1,8 +1,10 @@
 """The pipeline's stages, each on what the one before kept."""
 
 import corpus_pipeline as cp
+import numpy as np
 import pytest
 
+from lorekeep.llm import jaccard
 from lorekeep.llm.common import cut
 
 from ..conftest import SF
@@ -30,6 +32,47 @@ def test_near_copies_go(spark):
     assert {r["doc_id"] for r in cp.drop_near_duplicates(spark, docs, SF).collect()} == {1, 4, 5}
 
 
+def kept_by_brute_force(rows):
+    """Ids that stay: the least of each group linked at a Jaccard similarity of 0.8, all pairs compared."""
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows]
+    low = list(range(len(rows)))
+
+    def find(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]):
+                p, q = find(x), find(y)
+                low[max(p, q)] = min(p, q)
+    return {rows[x][0] for x in range(len(rows)) if find(x) == x}
+
+
+@pytest.mark.parametrize("kind", ["pairs", "crowd"])
+def test_near_copies_around_the_limit(spark, kind):
+    rng = np.random.default_rng(6)
+    rows = []
+    if kind == "pairs":  # lone pairs of similarities from 0.7 to 0.9: one run of words replaced
+        for k in range(150):
+            words = [f"w{k}x{i}" for i in range(204)]
+            n = int(rng.integers(7, 33))
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:50] + [f"n{k}x{i}" for i in range(n)] + words[50 + n :]))]
+    else:  # a crowd of copies of one text, each with its own words, similar to each other or not
+        words = [f"w{i}" for i in range(204)]
+        for k in range(150):
+            at, n = int(rng.integers(0, 170)), int(rng.integers(4, 34))
+            rows.append((k, " ".join(words[:at] + [f"n{k}x{i}" for i in range(n)] + words[at + n :])))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in cp.drop_near_duplicates(spark, docs, SF).collect()} == kept_by_brute_force(rows)
+
+
+def test_exact_check():
+    a, b = ({bytes([i]) for i in range(lo, lo + 9)} for lo in (0, 1))
+    assert jaccard.similar(a, b) and not jaccard.similar(a, {bytes([i]) for i in range(2, 11)}) and jaccard.similar(set(), set()) and not jaccard.similar(a, set())
+
+
 def test_passages_go_and_clean_text_stays(spark):
     shared = " ".join(f"shared{i}" for i in range(60))
     rows = [(1, f"own start of one. {shared} own end of one"), (2, f"two begins so; {shared}"), (3, "clean text " * 8)]
