@@ -18,8 +18,11 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that score below toxicity.THRESHOLD, by a model of all labelled documents. Null and empty texts have the bias's score."""
-    score = toxicity.score_column(docs, table(spark, sf_dir, "labels"), modulus=None)
+    """Keep documents that score below toxicity.THRESHOLD, by a model of all labelled documents. Null and empty texts have the bias's score. Without labelled documents all stay."""
+    labels = table(spark, sf_dir, "labels")
+    if not toxicity.labelled_rows(docs, labels, modulus=None).limit(1).count():
+        return docs
+    score = toxicity.score_column(docs, labels, modulus=None)
     return small_batches(docs).where(score < toxicity.THRESHOLD)
 
 

@@ -25,6 +25,13 @@ def test_stages(spark):
     assert docs.where("n_tokens > 0").count() > 0
 
 
+@pytest.mark.parametrize("labels", [[], [(1, 0, None), (4, 1, None)]])
+def test_all_stay_without_labels(spark, odd, tmp_path, labels):
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    assert cp.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_near_copies_go(spark):
     body = " ".join(f"word{i}" for i in range(300))
     rows = [(1, body), (2, body.replace("word100 ", "other ")), (3, body), (4, " ".join(f"else{i}" for i in range(200))), (5, None), (6, "")]
