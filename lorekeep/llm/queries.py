@@ -37,11 +37,20 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results only, as its SQL has them; op6_whole_chat has every message."""
     calls, results = toolcalls.calls_and_results(table(spark, sf_dir, "conversations"))
     linked = toolcalls.link(calls, results, toolcalls.REPLY)
     return linked.select(F.col("conv").alias("conv_id"), "turn", F.col("id").alias("call_id"), "level", "linked", "valid", F.sha2("line", 256).alias("line_sha256"))
 
 
+def op6_whole_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6_tool_calls with a line for system and other messages too, and for rows with a null conversation or turn."""
+    rows = table(spark, sf_dir, "conversations")
+    calls, results = toolcalls.calls_and_results(rows, unkeyed=True)
+    linked = toolcalls.link(calls, results, toolcalls.REPLY, toolcalls.other_messages(rows))
+    return linked.select(F.col("conv").alias("conv_id"), "turn", F.col("id").alias("call_id"), "level", "linked", "valid", F.sha2("line", 256).alias("line_sha256"))
+
+
 def op7_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = table(spark, sf_dir, "embeddings").select("vec_id", hamming.sign_code(F.col("embedding")).alias("code"))
     return hamming.top_k(codes, codes.where("vec_id % 20 = 0"), k=10)
@@ -65,7 +74,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_bpe_round_trip, op2_language_id, op3_token_counts, op4_nearest_neighbours, op5_source_mixing,
-    op6_tool_calls, op7_code_search, op8_toxicity, op9_simhash, op10_suffix_dedup,
+    op6_tool_calls, op6_whole_chat, op7_code_search, op8_toxicity, op9_simhash, op10_suffix_dedup,
 )}
 
 SQL = {

@@ -76,13 +76,14 @@ def levels(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
     return walk.join(level, ["conv", "at"]).select("conv", "id", (F.col("far") + F.col("level")).alias("level"))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
-    """calls: (conv, turn, id, name, arguments, needs); results: (conv, turn, id, content).
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]], others: DataFrame | None = None) -> DataFrame:
+    """calls: (conv, turn, id, name, arguments, needs); results: (conv, turn, id, content); others, messages that neither call nor answer: (conv, turn, role, content).
 
-    A row for each call, and for each result that no call takes: conv, turn, id, level, linked, valid, line.
+    A row for each call, for each result that no call takes and for each other message: conv, turn, id, level, linked, valid, line.
     """
     first = Window.partitionBy("conv", "id").orderBy("turn", "content")
-    keyed = results.select("conv", "turn", "id", "content").withColumn("nth", F.when(F.col("conv").isNotNull() & F.col("id").isNotNull(), F.row_number().over(first)))
+    r, has_key = results.select("conv", "turn", "id", "content"), F.col("conv").isNotNull() & F.col("id").isNotNull()
+    keyed = r.where(has_key).withColumn("nth", F.row_number().over(first)).unionByName(r.where(~has_key).withColumn("nth", F.lit(None).cast("int")))
     taken = keyed.where("nth = 1").select("conv", "id", F.col("content").alias("_content"), F.lit(True).alias("_hit"))
     ok = F.lit(False)
     for name, schema in schemas.items():
@@ -95,19 +96,25 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
     known = calls.select("conv", "id").distinct().withColumn("_known", F.lit(True))
     orphan = keyed.join(known, ["conv", "id"], "left").where("_known IS NULL OR nth > 1")
     b = orphan.select("conv", "turn", "id", F.lit(None).cast("int").alias("level"), F.lit(False).alias("linked"), F.lit(False).alias("valid"), canonical(content=F.col("content"), id=F.col("id"), role=F.lit("tool")).alias("line"))
-    return a.unionByName(b)
+    if others is None:
+        return a.unionByName(b)
+    c = others.select("conv", "turn", F.lit(None).cast("string").alias("id"), F.lit(None).cast("int").alias("level"), F.lit(False).alias("linked"), F.lit(False).alias("valid"), canonical(content=F.col("content"), role=F.col("role")).alias("line"))
+    return a.unionByName(b).unionByName(c)
 
 
 #: The tool that the query's calls name; every argument is required but the last.
 REPLY = {"reply": {"turn": ("integer", True), "text": ("string", True), "after": ("string", False)}}
 
 
-def calls_and_results(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def calls_and_results(conversations: DataFrame, unkeyed: bool = False) -> tuple[DataFrame, DataFrame]:
     """The conversations table as calls and results: a user's turn calls the tool `reply`, an assistant's turn is the result of the turn before it.
 
-    A call needs the result of the user's turn two before it, if the conversation has one.
+    A call needs the result of the user's turn two before it, if the conversation has one. Rows with a null
+    conversation or turn are left out or, unkeyed, kept without an identifier.
     """
-    c = conversations.select("conv_id", "turn", "role", "text").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    c = conversations.select("conv_id", "turn", "role", "text")
+    if not unkeyed:
+        c = c.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     ident = lambda turn: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
     users = c.where("role = 'user'")
     earlier = users.select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("_before")).distinct()
@@ -119,3 +126,9 @@ def calls_and_results(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     results = c.where("role = 'assistant'").select(F.col("conv_id").alias("conv"), "turn", ident(F.col("turn") - 1).alias("id"), F.col("text").alias("content"))
     return calls, results
+
+
+def other_messages(conversations: DataFrame) -> DataFrame:
+    """The rows of the conversations table that calls_and_results leaves to no role: system, any other and null roles."""
+    c = conversations.where(~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)))
+    return c.select(F.col("conv_id").alias("conv"), "turn", "role", F.col("text").alias("content"))

@@ -197,6 +197,20 @@ def test_op6(spark, odd):
     assert got == {"a": (1, True, True), "b": (0, False, False), "c": (None, False, False), "d": (None, False, False), "e": (None, False, False)}
 
 
+def test_op6_whole_chat(spark, tmp_path):
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "tool", None), (1, 4, None, "c"), (None, 0, "system", "d"), (None, 1, "user", "e"), (2, None, "user", "f"), (None, 2, "assistant", "g"), (3, None, "assistant", "h")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    sha = lambda line: hashlib.sha256(line.encode()).hexdigest()
+    call = lambda turn, text, rest="": '{"arguments":"{\\"text\\":\\"%s\\"%s}",%s"name":"reply","role":"assistant"}' % (text, "" if turn is None else ',\\"turn\\":%d' % turn, rest)
+    want = [
+        (1, 0, None, None, False, False, sha('{"content":"be brief","role":"system"}')), (1, 1, "call_1_1", 0, True, True, sha(call(1, "a", '"content":"b","id":"call_1_1",'))),
+        (1, 3, None, None, False, False, sha('{"role":"tool"}')), (1, 4, None, None, False, False, sha('{"content":"c"}')), (None, 0, None, None, False, False, sha('{"content":"d","role":"system"}')),
+        (None, 1, None, None, False, True, sha(call(1, "e"))), (2, None, None, None, False, False, sha(call(None, "f"))),
+        (None, 2, None, None, False, False, sha('{"content":"g","role":"tool"}')), (3, None, None, None, False, False, sha('{"content":"h","role":"tool"}')),
+    ]
+    assert bag(map(tuple, queries.op6_whole_chat(spark, str(tmp_path)).collect())) == bag(want)
+
+
 def test_op6_levels(spark):
     needs = {f"n{i}": [f"n{i - 1}"] if i else [] for i in range(100)} | {"m": ["n7", "n50"], "after": ["m"], "mm": ["after", "n99"], "x": ["y"], "y": ["x"], "z": ["x", "n1"], "lost": ["none"]}
     rows = spark.createDataFrame([(1, k, v) for k, v in needs.items()], "conv long, id string, needs array<string>")
