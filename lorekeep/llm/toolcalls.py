@@ -14,6 +14,8 @@ Arguments that aren't a JSON object, or a tool without a schema, are invalid. Re
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +42,13 @@ def valid(arguments: Column, schema: dict[str, tuple[str, bool]]) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def levels(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def levels(calls: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """calls: (conv, id, needs array<string>). (conv, id, level) of those that can be ordered.
 
     Chains of calls with one need each are followed by pointer doubling up to an anchor, a call that needs nothing or
     several: rounds grow with the logarithm of a chain. Anchors with several needs then get their levels one depth
-    of them a round. Each round is written before the next.
+    of them a round, until none is new. Each round is written before the next. An error is raised if max_rounds is
+    set and calls are left after it.
     """
     c = common.cut(calls.select("conv", "id", F.array_distinct(F.coalesce("needs", F.array())).alias("needs")).dropDuplicates(["conv", "id"]), "calls")
     anchor = F.size("needs") != 1
@@ -62,7 +65,7 @@ def levels(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
         walk = common.cut(walk.where("done").select("conv", "at", "id", "far", "done").unionByName(moved.where(F.col("done") | (F.col("far") < 1 << 30))), "walk")
     level = common.cut(c.where(F.size("needs") == 0).select("conv", F.col("id").alias("at"), F.lit(0).alias("level")), "level")
     left = c.where(F.size("needs") > 1)
-    for _ in range(max_rounds):
+    for _ in count() if max_rounds is None else range(max_rounds):
         if left.limit(1).count() == 0:
             break
         need = left.select("conv", "id", F.size("needs").alias("n"), F.explode("needs").alias("need"))
@@ -73,6 +76,9 @@ def levels(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
             break
         level = common.cut(level.unionByName(fresh), "level")
         left = common.cut(left.join(fresh.select("conv", F.col("at").alias("id")), ["conv", "id"], "left_anti"), "left")
+    else:
+        if left.limit(1).count():
+            raise RuntimeError("calls are left after max_rounds")
     return walk.join(level, ["conv", "at"]).select("conv", "id", (F.col("far") + F.col("level")).alias("level"))
 
 

@@ -218,6 +218,14 @@ def test_op6_levels(spark):
     assert got == {f"n{i}": i for i in range(100)} | {"m": 51, "after": 52, "mm": 100}
 
 
+def test_op6_levels_never_end_silently(spark):
+    needs = {"a": [], "b": [], "c": ["a", "b"], "d": ["a", "c"], "e": ["c", "d"]}
+    rows = spark.createDataFrame([(1, k, v) for k, v in needs.items()], "conv long, id string, needs array<string>")
+    with pytest.raises(RuntimeError):
+        toolcalls.levels(rows, max_rounds=2)
+    assert {r["id"]: r["level"] for r in toolcalls.levels(rows, max_rounds=3).collect()} == {"a": 0, "b": 0, "c": 1, "d": 2, "e": 3}
+
+
 def test_op7_hot_code(spark):
     df = spark.createDataFrame([(i, 5 if i < 300 else i) for i in range(340)] + [(999, None)], "vec_id long, code long")
     got = hamming.top_k(df, df.where("vec_id IN (0, 320)"), k=10).orderBy("query_id", "rank").collect()
