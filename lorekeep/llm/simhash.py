@@ -42,6 +42,16 @@ def _scramble(h: np.ndarray, seed: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each bit is 1, the highest bit first."""
+    return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, k: int) -> int:
+    """The fingerprint: a bit for each bit that is 1 in over half of k hashes."""
+    return int.from_bytes(np.packbits(2 * counts > k).tobytes(), "big")
+
+
 def fingerprint(text: str | None, n: int, seeds: tuple[int, ...]) -> list[int]:
     """One 64-bit fingerprint for each seed: the first is XXH64's over the n-word shingles, each further one scrambles these hashes."""
     import xxhash
@@ -64,8 +74,8 @@ def fingerprint(text: str | None, n: int, seeds: tuple[int, ...]) -> list[int]:
         h = np.array([digest(line[a:b], seed) for a, b in zip(starts[lo:hi], ends[lo + last : hi + last])], np.uint64)
         for i, other in enumerate(seeds):
             own = h if i == 0 else _scramble(h, other)
-            total[i] += np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return [int.from_bytes(np.packbits(2 * t > k).tobytes(), "big") for t in total]
+            total[i] += bit_counts(own)
+    return [majority(t, k) for t in total]
 
 
 def fingerprints(text: Column, n: int = 4, seeds: tuple[int, ...] = (42,)) -> Column:

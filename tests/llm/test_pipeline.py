@@ -57,8 +57,10 @@ def kept_by_brute_force(rows):
     return {rows[x][0] for x in range(len(rows)) if find(x) == x}
 
 
-@pytest.mark.parametrize("kind", ["pairs", "crowd"])
-def test_near_copies_around_the_limit(spark, kind):
+@pytest.mark.parametrize("kind", ["pairs", "crowd", "crowd in blocks"])
+def test_near_copies_around_the_limit(spark, kind, monkeypatch):
+    if kind == "crowd in blocks":
+        monkeypatch.setattr(jaccard, "HOT", 16)
     rng = np.random.default_rng(6)
     rows = []
     if kind == "pairs":  # lone pairs of similarities from 0.7 to 0.9: one run of words replaced
