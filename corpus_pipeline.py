@@ -35,9 +35,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     src, own = numbered(docs)
     marked = small_batches(src).select(F.col(own).alias("row"), F.col("doc_id").cast("long").alias("id"), jaccard.signatures(F.col("text"), NEAR).alias("s")).select("row", "id", "s.*")
     # a group of any size is reduced where its rows lie: first by shingle set, then by component; null ids come last
-    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "keys", "sketch")).alias("first")
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "fp", "keys", "sketch")).alias("first")
     nodes = cut(cut(marked, "marked").groupBy("whole").agg(least).select("first.*").withColumnRenamed("row", "node"), "nodes")
-    group = jaccard.groups(nodes.select("node", "keys", "sketch"), src.select(F.col(own).alias("node"), "text"), NEAR)
+    group = jaccard.groups(nodes.select("node", "fp", "keys", "sketch"), src.select(F.col(own).alias("node"), "text"), NEAR)
     kept = nodes.join(group, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min(F.struct("last", "id", "node")).alias("first")).select(F.col("first.node").alias(own))
     return src.join(kept, own, "left_semi").drop(own)
 
