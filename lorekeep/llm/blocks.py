@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16_384
 CHUNK_ROWS = 4_096
+MOST_TASKS = 100_000
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int, payload: str, one: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
@@ -34,6 +35,9 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, payload: str, one:
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         return one(a, b)
 
+    # a set number of partitions, as few bytes may be much work
+    n = min(n_blocks * n_chunks, MOST_TASKS)
+    q, c = q.repartition(n, "block", "chunk"), c.repartition(n, "block", "chunk")
     found = q.groupBy("block", "chunk").cogroup(c.groupBy("block", "chunk")).applyInPandas(group, f"query_id {id_type}, id {id_type}, score {score_type}")
     by = F.col("score").desc() if descending else F.col("score").asc()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(by, "id"))

@@ -99,9 +99,9 @@ FROM r WHERE nth > 1 OR NOT EXISTS (FROM calls c WHERE c.conv_id = r.conv_id AND
 """,
     "op7_code_search": r"""
 WITH codes AS (SELECT vec_id, list_transform(embedding, lambda c: CASE WHEN c > 0 THEN '1' ELSE '0' END) AS bits FROM embeddings
-               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) BETWEEN 1 AND 64),
+               WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL)) = 0),
 packed AS (SELECT vec_id, array_to_string(bits, '')::BIT AS code FROM codes),
-d AS (SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code))::BIGINT AS distance FROM packed q JOIN packed c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+d AS (SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code))::BIGINT AS distance FROM packed q JOIN packed c ON q.vec_id <> c.vec_id AND length(q.code) = length(c.code) WHERE q.vec_id % 20 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank, vec_id, distance FROM d
 QUALIFY rank <= 10
 """,
