@@ -30,8 +30,8 @@ N = 3
 BLOCK = 4096
 #: Characters of text that are counted as one matrix product.
 UNIT = 1 << 20
-#: Languages a model may have: DIM doubles of each go to the driver and to every task.
-MAX_LANGS = 2000
+#: Languages whose prototypes, DIM doubles each, go to the driver and to every task at a time.
+BLOCK_LANGS = 2000
 UND = "und"
 
 
@@ -101,13 +101,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", n: int = N, dim: int = DIM) -> dict[str, np.ndarray]:
-    """Prototypes by language, from all rows with a language and letters.
+def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", n: int = N, dim: int = DIM) -> DataFrame:
+    """Prototypes (lang, block, parts array<double>), from all rows with a language and letters, BLOCK_LANGS languages a block, written to the shared folder.
 
-    Each task sends one partial bundle a language; the sums by language and component are small: languages (at most
-    MAX_LANGS, else an error) times dim.
+    Each task sends one partial bundle for each language that it has read, BLOCK_LANGS at a time.
     """
 
+    def sums_of(total: dict[str, np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"lang": pd.Series(list(total), dtype=object), "part": pd.Series(list(total.values()), dtype=object)})
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
         for b in batches:
@@ -116,7 +118,10 @@ def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", n: int =
                 v = _unit(bundles(texts[lo:hi], n, dim)).astype(np.float64)
                 for lang in dict.fromkeys(langs[lo:hi]):
                     total[lang] = total.get(lang, 0) + v[langs[lo:hi] == lang].sum(axis=0)
-        yield pd.DataFrame({"lang": pd.Series(list(total), dtype=object), "part": pd.Series(list(total.values()), dtype=object)})
+                if len(total) > BLOCK_LANGS:
+                    yield sums_of(total)
+                    total = {}
+        yield sums_of(total)
 
     src = common.small_batches(df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL"))
     sums = (
@@ -125,38 +130,49 @@ def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", n: int =
         .groupBy("lang", "i").agg(F.sum(F.round("x", 6).cast("decimal(30,6)")).cast("double").alias("x"))
         .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("parts"))
     )  # sums of decimals don't depend on the order of tasks
-    rows = sums.limit(MAX_LANGS + 1).collect()
-    if len(rows) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    return {r["lang"]: v for r in sorted(rows, key=lambda r: r["lang"]) if (v := np.array([p["x"] for p in r["parts"]])).any()}
-
-
-def predict(df: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), n: int = N, dim: int = DIM) -> DataFrame:
-    """(id, the columns of keep, lang_pred, score): score is the cosine, 0 if negative."""
-    langs = sorted(model)
-    protos = _unit(np.array([model[x] for x in langs])) if langs else np.zeros((0, dim))
-    if len(langs) > 1:  # what all languages share doesn't tell them apart
-        protos = protos - protos.mean(axis=0) * 0.5
-        protos = _unit(protos)
-    protos = protos.astype(np.float32)
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = b["text"].tolist()
-            for lo, hi in common.units(texts, UNIT):
-                out = b.iloc[lo:hi].drop(columns="text")
-                v = bundles(texts[lo:hi], n, dim)
-                none = ~v.any(axis=1)
-                if len(langs):
+    sums = common.cut(sums.select("lang", F.transform("parts", lambda p: p["x"]).alias("parts")).where(F.exists("parts", lambda x: x != 0)), "prototypes")
+    blocks = int(np.ceil(sums.count() / BLOCK_LANGS))
+    return sums.withColumn("block", F.pmod(F.xxhash64("lang"), F.lit(max(1, blocks))).cast("int")) if blocks > 1 else sums.withColumn("block", F.lit(0))
+
+
+def predict(df: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), n: int = N, dim: int = DIM) -> DataFrame:
+    """(id, the columns of keep, lang_pred, score), by the prototypes of fit().
+
+    Half of the languages' mean is taken off every prototype, as what all share doesn't tell them apart; score is the
+    cosine with what is left, 0 if negative. Blocks of languages come one after the other, and the best so far stays.
+    """
+    def block(k: int) -> tuple[list[str], np.ndarray]:
+        rows = sorted((r["lang"], r["parts"]) for r in model.where(F.col("block") == k).select("lang", "parts").collect())  # about BLOCK_LANGS
+        return [r[0] for r in rows], _unit(np.array([r[1] for r in rows], np.float64).reshape(-1, dim))
+
+    numbers = sorted(r[0] for r in model.select("block").distinct().collect())
+    total, count = np.zeros(dim), 0
+    for k in numbers if len(numbers) > 1 else []:
+        _, protos = block(k)
+        total, count = total + protos.sum(axis=0), count + len(protos)
+
+    def best_of(src: DataFrame, k: int) -> DataFrame:
+        langs, protos = block(k)
+        n_langs, mean = (count, total / count) if count else (len(langs), protos.mean(axis=0) if len(langs) else 0)
+        protos = (_unit(protos - mean * 0.5) if n_langs > 1 else protos).astype(np.float32)
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                texts = b["text"].tolist()
+                for lo, hi in common.units(texts, UNIT):
+                    out = b.iloc[lo:hi]
+                    v = bundles(texts[lo:hi], n, dim)
+                    some = v.any(axis=1)
                     cos = _unit(v) @ protos.T
                     best = cos.argmax(axis=1)
-                    pred = np.array(langs, object)[best]
-                    score = np.clip(cos[np.arange(len(best)), best].astype(np.float64), 0, 1)
-                else:
-                    pred, score = np.array([UND] * (hi - lo), object), np.zeros(hi - lo)
-                pred[none], score[none] = UND, 0.0
-                yield out.assign(lang_pred=pred, score=score)
-
-    src = common.small_batches(df.select(F.col(id_col).alias(id_col), *keep, F.col(text_col).alias("text")))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "text")
-    return src.mapInPandas(work, f"{fields}, lang_pred string, score double")
+                    pred, score = np.array(langs, object)[best], np.clip(cos[np.arange(len(best)), best].astype(np.float64), 0, 1)
+                    was, before = out["lang_pred"].to_numpy(object), out["score"].to_numpy()
+                    wins = some & ((was == UND) | (score > before) | ((score == before) & np.array([p < w for p, w in zip(pred, was)], bool)))
+                    yield out.assign(lang_pred=np.where(wins, pred, was), score=np.where(wins, score, before))
+
+        return src.mapInPandas(work, src.schema)
+
+    src = common.small_batches(df.select(F.col(id_col).alias(id_col), *keep, F.col(text_col).alias("text"), F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score")))
+    for k in numbers:
+        src = best_of(src, k)
+    return src.drop("text")
