@@ -4,7 +4,7 @@ Messages have the roles user, assistant, tool and system; calls and results are
 with its call by (conversation, identifier), by hash; a call may name calls it needs. Calls are ordered topologically:
 level 0 needs nothing, any other is one over the highest it needs; a cycle, or a needed call that doesn't exist,
 leaves level null. Arguments are validated against the tool's schema (names, types, required). Each row becomes one
-canonical JSON line: keys in code point order, no blanks, no keys with null. Lines aren't gathered per conversation,
+canonical JSON line: keys in code point order, no blanks, no keys with null; a call's arguments are written alike. Lines aren't gathered per conversation,
 so a conversation of any length is spread over tasks; (conversation, level, turn) orders them.
 
 Defined results: several results for a call: the one of the lowest turn, then least text, is linked, others are
@@ -21,14 +21,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TYPES = {"string": "STRING", "integer": "BIGINT", "number": "number", "boolean": "BOOLEAN"}
-
-
 def canonical(**fields: Column) -> Column:
     """A JSON object of the fields, keys sorted; nulls are left out."""
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "true"})
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON text with sorted keys at every depth and no blanks; what isn't JSON (or repeats a key) stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+
+
 def valid(arguments: Column, schema: dict[str, tuple[str, bool]]) -> Column:
     """True if arguments is a JSON object with only the schema's names, the required ones, and the types: {name: (type, required)}."""
     kinds = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN"}
@@ -94,7 +96,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
     ok = F.lit(False)
     for name, schema in schemas.items():
         ok = F.when(F.col("name") == name, valid(F.col("arguments"), schema)).otherwise(ok)
-    lined = canonical(arguments=F.col("arguments"), content=F.col("_content"), id=F.col("id"), name=F.col("name"), role=F.lit("assistant"))
+    lined = canonical(arguments=canonical_json(F.col("arguments")), content=F.col("_content"), id=F.col("id"), name=F.col("name"), role=F.lit("assistant"))
     a = (
         calls.select("conv", "turn", "id", "name", "arguments", "needs").join(taken.hint("shuffle_hash"), ["conv", "id"], "left").join(levels(calls), ["conv", "id"], "left")
         .select("conv", "turn", "id", "level", F.coalesce("_hit", F.lit(False)).alias("linked"), ok.alias("valid"), lined.alias("line"))
