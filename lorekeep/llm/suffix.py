@@ -39,7 +39,8 @@ from . import common
 LENGTH = 200
 SEED = 32
 GROUP = 8192
-#: Characters whose anchors are sought at once; a worker holds about 80 bytes for each.
+#: Characters whose anchors are sought at once; a worker holds about 80 bytes for each. Longer texts are cut into segments
+#: of so many windows, which overlap by a window less a byte; a run of windows cut by that counts as two.
 UNIT = 1 << 20
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _TABLE = np.random.default_rng(200).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -123,16 +124,19 @@ def _find(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame
     for b in batches:
         texts, rows = b["text"].tolist(), b["row"].to_numpy()
         for a, z in common.units(texts, UNIT):
-            raw, data, off = _layout(texts[a:z])
-            at, first, last, h = anchors(data, off, length)
-            if not len(at):
-                continue
-            flat = data.tobytes()
-            doc = np.searchsorted(off, first, side="right") - 1
-            ctx = [_digest(flat[f : l + length]) for f, l in zip(first.tolist(), last.tolist())]
-            lo, hi = at - last, at - first
-            ctx = _mix(np.array(ctx, np.uint64), (lo * 65_536 + hi).astype(np.uint64))
-            yield pd.DataFrame({"row": rows[a:z][doc], "pos": (at - off[doc]).astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "g": _signed(h), "ctx": _signed(ctx)})
+            _, data, off = _layout(texts[a:z])
+            cut = UNIT if z - a == 1 else len(data) + 1
+            for begin in range(0, len(data), cut):
+                part, ends = (data[begin : begin + cut + length - 1], np.array([0, min(cut + length - 1, len(data) - begin)])) if z - a == 1 else (data, off)
+                at, first, last, h = anchors(part, ends, length)
+                if not len(at):
+                    continue
+                flat = part.tobytes()
+                doc = np.searchsorted(ends, first, side="right") - 1
+                ctx = [_digest(flat[f : l + length]) for f, l in zip(first.tolist(), last.tolist())]
+                lo, hi = at - last, at - first
+                ctx = _mix(np.array(ctx, np.uint64), (lo * 65_536 + hi).astype(np.uint64))
+                yield pd.DataFrame({"row": rows[a:z][doc], "pos": (begin + at - ends[doc]).astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "g": _signed(h), "ctx": _signed(ctx)})
     common.give_back()
 
 
