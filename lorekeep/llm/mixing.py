@@ -4,10 +4,11 @@
    weight and stop at MAX_EPOCHS times the source's size, the excess reshared (water filling, solved in closed form).
 2. All sources' targets, counted in equal blocks of block_words words, get integer quotas by the highest quotients
    target / (2 i - 1). Documents of a source lie in shards by a seeded hash, about shard_words words each; the source's
-   quota goes to its shards by the same rule, with their words as votes.
+   quota goes to groups of GROUP_SHARDS shards and a group's to its shards by the same rule, with their words as votes.
 3. A shard lays its documents end to end in seeded order, as a ring. From a seeded word on it takes quota * block_words
    consecutive words, round the ring as often as needed, at most MAX_EPOCHS times.
-So whatever the number of rows of one source, windows run over a shard or over one row per shard, and reruns agree.
+So whatever the number of rows of one source, windows run over a shard, over the shards of a group, over the groups of a
+source (16 million million words a window of 60,000 rows) or over the few sources, and reruns agree.
 
 Ties: quotients by source or shard number, documents by id. Null or empty texts have size 0 and give 0 words. Repeated
 rows count each. An empty table gives an empty result. Extra columns are dropped by quotas(), kept by apply().
@@ -24,6 +25,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 BLOCK_WORDS = 8
 SHARD_WORDS = 65_536
+GROUP_SHARDS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -95,7 +97,11 @@ def quotas(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: in
     shard = F.pmod(F.xxhash64("d.id", F.lit(seed)), F.col("s.shards"))
     d = d.select("d.*", "s.source_size", "s.target", "s.source_quota", shard.alias("shard"))
     shards = d.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"))
-    shards = apportion(shards, ["source"], "shard", "words", "source_quota", "quota").select("source", "shard", "words", "quota")
+    shards = common.cut(shards.withColumn("group", F.floor(F.col("shard") / GROUP_SHARDS)), "shards")
+    in_groups = shards.groupBy("source", "group").agg(F.sum("words").alias("group_words"), F.first("source_quota").alias("source_quota"))
+    in_groups = apportion(in_groups, ["source"], "group", "group_words", "source_quota", "group_quota").alias("g")
+    shards = shards.alias("s").join(in_groups, F.col("s.source").eqNullSafe(F.col("g.source")) & (F.col("s.group") == F.col("g.group"))).select("s.*", "g.group_quota")
+    shards = apportion(shards, ["source", "group"], "shard", "words", "group_quota", "quota").select("source", "shard", "words", "quota")
     start = F.when(F.col("words") > 0, F.pmod(F.xxhash64("source", "shard", F.lit(seed + 1)), F.col("words"))).otherwise(0)
     shards = shards.withColumn("take", F.least(F.col("quota") * block_words, F.col("words") * max_epochs)).withColumn("start", start)
     x = d.alias("d").join(shards.alias("h"), F.col("d.source").eqNullSafe(F.col("h.source")) & (F.col("d.shard") == F.col("h.shard")))
@@ -112,7 +118,7 @@ def quotas(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: in
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents, with the columns of docs: a document taken t times its size comes t times, and if words are left over, once more cut to these (words of a cut copy keep the blanks after them).
+    """The mixed documents, with the columns of docs: a document taken t times its size comes t times, and if words are left over, once more cut to these (words of a cut copy keep the blanks after them; the last word of the text has one before its first).
 
     Documents of which nothing is taken go. The row's text column is replaced in cut copies only.
     """
@@ -129,6 +135,8 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     words = F.regexp_extract_all(F.col(f"_row.`{text_col}`"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1)
     # from the first taken word on, round to the start where the ring's turn ends inside the document
     first, left = F.col("_take.first").cast("int"), F.col("_take.left")
-    ring = F.concat(F.slice(words, first + 1, left), F.slice(words, 1, F.greatest(F.lit(0), left - (F.col("_take.size").cast("int") - first))))
-    text = F.when(F.col("_k") <= F.col("_take.full"), F.col(f"_row.`{text_col}`")).otherwise(F.array_join(ring, ""))
+    end = F.array_join(F.slice(words, first + 1, left), "")
+    start = F.array_join(F.slice(words, 1, F.greatest(F.lit(0), left - (F.col("_take.size").cast("int") - first))), "")
+    ring = F.concat(end, F.when((start != "") & ~end.rlike(r"[\x20\x09-\x0D]$"), " ").otherwise(""), start)
+    text = F.when(F.col("_k") <= F.col("_take.full"), F.col(f"_row.`{text_col}`")).otherwise(ring)
     return copies.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in cols])
