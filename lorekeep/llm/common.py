@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,9 +18,11 @@ UNIT_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a temporary one that is set now."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, in one process as in tests) a temporary one that is set now."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -226,7 +226,8 @@ def near_duplicates(docs: DataFrame, n: int = 4, threshold: int = 4, seeds: tupl
     """(id, fp array<long>, component) of every row."""
     src = common.small_batches(docs.select(F.col(id_col).cast("long").alias("id"), fingerprints(F.col(text_col), n, seeds).alias("fp")))
     prints = common.cut(src, "prints")
-    return prints.join(classes(prints, len(seeds), threshold), "fp").select("id", "fp", "component")
+    # written, the classes are a plain side of the join: a fingerprint that a third of all rows share can be split
+    return prints.join(common.cut(classes(prints, len(seeds), threshold), "classes"), "fp").select("id", "fp", "component")
 
 
 def hex16(fp: Column) -> Column:
