@@ -34,9 +34,16 @@ def odd(spark, tmp_path_factory):
     docs.write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, 0, 1), (4, 1, 0), (5, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     vec = [(i, [float(i % 7 - 3), 1.0, float(i % 3)], 0) for i in range(60)] + [(100, None, 0), (120, [0.0, 0.0, 0.0], 0), (140, [float("nan"), 1.0, 1.0], 0), (160, [1.0, 2.0], 0), (180, [], 0)]
-    spark.createDataFrame(vec, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    vec += [(i, [float((i * j) % 5 - 2) for j in range(1, 131)], 1) for i in range(200, 232)] + [(240, [1.0, None, 2.0], 0), (260, [None], 0)]
+    rows = spark.createDataFrame(vec, "vec_id long, embedding array<float>, label int")
+    for c in ("id", "vec", "code", "block", "chunk", "score", "rank", "query_id", "distance", "n"):
+        rows = rows.withColumn(c, F.lit("x"))
+    rows.write.parquet(f"{d}/embeddings.parquet")
     conv = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a2"), (1, 2, "user", None), (2, 1, "assistant", "no call"), (None, 0, "user", "x"), (3, 0, "user", "q"), (3, 0, "user", "q")]
-    spark.createDataFrame(conv, "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    rows = spark.createDataFrame(conv, "conv_id long, turn long, role string, text string")
+    for c in ("conv", "id", "level", "linked", "valid", "line", "content", "name", "arguments", "needs", "nth"):
+        rows = rows.withColumn(c, F.lit("x"))
+    rows.write.parquet(f"{d}/conversations.parquet")
     return d
 
 
@@ -91,6 +98,53 @@ def test_op1_long_pieces(word):
     assert c.contract([word.encode()])[0] == enc.encode_ordinary(word)
 
 
+def test_op1_long_run_of_letters():
+    c = bpe.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    rng = np.random.default_rng(3)
+    for word in ("".join(rng.choice(list("acgt"), 100_000)), "z" * 30_001, "abc" * 5000, "".join(rng.choice(list("ehlo wéß漢字".replace(" ", "")), 9000))):
+        assert c.encode([word])[0].tolist() == enc.encode_ordinary(word)
+
+
+def test_op1_whole_long_text(spark, monkeypatch):
+    """One text of 32 MB, and slices much smaller than a text."""
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.codec(path, P.PATTERN).ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    body = " ".join(t for _, t in texts(spark, SF) if t)
+    for size, slice_ in ((32 << 20, None), (3 << 20, 1000)):
+        if slice_:
+            monkeypatch.setattr(bpe, "SLICE", slice_)
+        text = (body * (size // len(body) + 1))[:size]
+        ids = np.concatenate([i for i, _ in bpe.codec(path, P.PATTERN).slices(text)]) if slice_ else None
+        want = enc.encode_ordinary(text)
+        assert slice_ is None or ids.tolist() == want
+        (got,) = bpe.round_trip(spark.createDataFrame([(1, text)], "doc_id long, text string"), path, P.PATTERN).collect()
+        assert tuple(got) == (1, len(want), sha(",".join(map(str, want)).encode()), sha(text.encode()))
+
+
+def test_op2_blocks_of_languages(spark, monkeypatch):
+    rows = [(i, f"{'abcdefg'[i % 7] * 3} {'hijklmn'[i % 7] * 4} shared words here", f"l{i % 7}") for i in range(70)] + [(100, None, "l1"), (101, "12", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = bag(map(tuple, langid.predict(df, langid.fit(df)).collect()))
+    monkeypatch.setattr(langid, "BLOCK_LANGS", 2)
+    many = bag(map(tuple, langid.predict(df, langid.fit(df)).collect()))
+    assert [r[:2] for r in one] == [r[:2] for r in many] and all(abs(a[2] - b[2]) < 1e-5 for a, b in zip(one, many)) and (101, langid.UND, 0.0) in many
+
+
+def test_op2_equals_plain_cosines(spark):
+    """Prediction by cosines in double precision, document by document."""
+    rows = [(i, t, f"l{i % 3}") for i, t in enumerate(("one two three", "eins zwei drei", "un deux trois", "three words", "drei Worte", "trois mots"))]
+    unit = lambda v: v / np.linalg.norm(v)
+    docs = {i: unit(langid.bundles([t])[0].astype(float)) for i, t, _ in rows}
+    protos = np.array([unit(sum(docs[i] for i, _, x in rows if x == f"l{k}")) for k in range(3)])
+    protos = np.array([unit(p) for p in protos - protos.mean(axis=0) / 2])
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for r in langid.predict(df, langid.fit(df)).collect():
+        cos = protos @ docs[r["doc_id"]]
+        assert r["lang_pred"] == f"l{cos.argmax()}" and abs(r["score"] - max(0, cos.max())) < 1e-4
+
+
 def test_op2(spark, odd):
     got = {r["doc_id"]: r for r in queries.op2_language_id(spark, odd).collect()}
     assert all(got[i]["lang_pred"] == langid.UND and got[i]["score"] == 0 for i in (2, 3, 6)) and all(0 <= r["score"] <= 1 for r in got.values())
@@ -226,6 +280,27 @@ def test_op6_levels_never_end_silently(spark):
     assert {r["id"]: r["level"] for r in toolcalls.levels(rows, max_rounds=3).collect()} == {"a": 0, "b": 0, "c": 1, "d": 2, "e": 3}
 
 
+def test_op6_canonical_arguments(spark):
+    calls = [(1, k, f"c{k}", "reply", a, []) for k, a in enumerate(['{"turn":1,"text":"x"}', '{ "text" : "x",\n "turn": 1 }', "no json", None, '{"b":{"z":1,"a":[1,2]},"a":"é"}'])]
+    results = spark.createDataFrame([], "conv long, turn long, id string, content string")
+    got = {r["id"]: r["line"] for r in toolcalls.link(spark.createDataFrame(calls, "conv long, turn long, id string, name string, arguments string, needs array<string>"), results, toolcalls.REPLY).collect()}
+    assert got["c0"].replace("c0", "") == got["c1"].replace("c1", "") and '"arguments":"no json"' in got["c2"] and "arguments" not in got["c3"]
+    assert '{\\"a\\":\\"é\\",\\"b\\":{\\"a\\":[1,2],\\"z\\":1}}' in got["c4"]
+
+
+def test_op7_odd_vectors(spark, odd):
+    """Nulls in vectors, mixed lengths and over 64 components: brute force and the SQL agree."""
+    got = bag(map(tuple, queries.op7_code_search(spark, odd).select("query_id", "rank", "vec_id", "distance").collect()))
+    rows = [(r["vec_id"], [not c <= 0 for c in r["embedding"]]) for r in spark.read.parquet(f"{odd}/embeddings.parquet").collect() if r["embedding"] and None not in r["embedding"]]
+    want = []
+    for q, a in rows:
+        if q % 20 == 0:
+            best = sorted((sum(x != y for x, y in zip(a, b)), i) for i, b in rows if i != q and len(a) == len(b))[:10]
+            want += [(q, n + 1, i, d) for n, (d, i) in enumerate(best)]
+    assert got == bag(want) and any(q >= 200 for q, *_ in got)
+    same(spark, "op7", queries.op7_code_search, queries.SQL["op7_code_search"].replace("FROM embeddings", f"FROM '{odd}/embeddings.parquet/*.parquet'"), odd)
+
+
 def test_op7_hot_code(spark):
     df = spark.createDataFrame([(i, 5 if i < 300 else i) for i in range(340)] + [(999, None)], "vec_id long, code long")
     got = hamming.top_k(df, df.where("vec_id IN (0, 320)"), k=10).orderBy("query_id", "rank").collect()
@@ -234,6 +309,29 @@ def test_op7_hot_code(spark):
     assert [(r["distance"], r["vec_id"]) for r in got if r["query_id"] == 320] == want
 
 
+def test_op8_equals_plain_ftrl(spark):
+    """The same sample learned one coordinate at a time with dictionaries."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(["good", "bad", "day", "night", "word", "talk"], 6)), int(i % 3 == 0)) for i in range(60)]
+    at, w, bias = toxicity.fit(spark.createDataFrame(rows, "id long, text string, y int"), epochs=2)
+    order = {r["id"]: r["o"] for r in spark.createDataFrame(rows, "id long, text string, y int").select("id", toxicity.sample_order("id").alias("o")).collect()}
+    z, n, bz, bn, l1 = collections.defaultdict(float), collections.defaultdict(float), 0.0, 0.0, max(1.0, 0.15 * 60**0.5)
+    weight = lambda f: 0.0 if abs(z[f]) <= l1 else -(z[f] - np.sign(z[f]) * l1) / ((toxicity.BETA + n[f] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+    rate = lambda: -bz / ((toxicity.BETA + bn**0.5) / toxicity.ALPHA)
+    for _ in range(2):
+        for _, text, y in sorted(rows, key=lambda r: order[r[0]]):
+            fs = toxicity.features(text).tolist()
+            own = {f: weight(f) for f in fs}
+            g = 1 / (1 + np.exp(-(sum(own.values()) + rate()))) - y
+            for f in fs:
+                z[f] += g - ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / toxicity.ALPHA * own[f]
+                n[f] += g * g
+            b = rate()
+            bz, bn = bz + g - ((bn + g * g) ** 0.5 - bn**0.5) / toxicity.ALPHA * b, bn + g * g
+    want = {f: v for f in list(z) if (v := weight(f))}
+    assert set(at.tolist()) == set(want) and all(abs(want[f] - v) < 1e-5 for f, v in zip(at.tolist(), w.tolist())) and abs(bias - rate()) < 1e-9
+
+
 def test_op8(spark, odd):
     got = queries.op8_toxicity(spark, odd).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
@@ -303,9 +401,19 @@ def test_op9_wide_and_null_ids(spark):
     assert got[0x0F0F0F0F0F0F0F0F] == got[0x0F0F0F0F0F0F0F0E] is not None
 
 
-@pytest.mark.parametrize("which", ["odd", SF, "repeats"])
+def test_op9_one_fingerprint_for_a_third(spark):
+    rows = [(i, [0]) for i in range(300)] + [(1000 + i, [int(x)]) for i, x in enumerate(np.random.default_rng(1).integers(0, 2**62, 600))]
+    prints = spark.createDataFrame(rows, "id long, fp array<long>")
+    got = {r["id"]: r["component"] for r in prints.join(simhash.classes(prints, 1, 4), "fp").collect()}
+    assert len(got) == 900 and {got[i] for i in range(300)} == {0}
+
+
+@pytest.mark.parametrize("which", ["odd", SF, "repeats", "segments"])
 def test_op10(spark, odd, which, monkeypatch, tmp_path):
     d = odd if which == "odd" else which
+    if which == "segments":
+        monkeypatch.setattr(suffix, "UNIT", 700)
+        d = SF
     if which == "repeats":
         rng = np.random.default_rng(5)
         piece = lambda n: "".join(rng.choice(list("abcdefgh "), n))

@@ -1,10 +1,13 @@
 """The pipeline's stages, each on what the one before kept."""
 
+import collections
+import re
+
 import corpus_pipeline as cp
 import numpy as np
 import pytest
 
-from lorekeep.llm import jaccard
+from lorekeep.llm import jaccard, mixing, toxicity
 from lorekeep.llm.common import cut
 
 from ..conftest import SF
@@ -32,6 +35,29 @@ def test_all_stay_without_labels(spark, odd, tmp_path, labels):
     assert cp.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
 
 
+def test_toxic_go_by_score(spark):
+    """What stays is what one text at a time scores below the threshold, with the weights of the same fit."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    at, w, bias = toxicity.fit(toxicity.labelled_rows(docs, labels, modulus=None))
+    weight = dict(zip(at.tolist(), w.tolist()))
+    want = {r["doc_id"] for r in docs.collect() if toxicity.sigmoid(sum(weight.get(f, 0.0) for f in toxicity.features(r["text"]).tolist()) + bias) < toxicity.THRESHOLD}
+    assert {r["doc_id"] for r in cp.drop_toxic(spark, docs, SF).collect()} == want
+
+
+def test_mix_takes_the_quotas(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    taken = {r["id"]: (r["taken"], r["first"]) for r in mixing.quotas(docs).collect()}
+    got = collections.defaultdict(list)
+    for r in cp.mix_sources(spark, docs, SF).collect():
+        got[r["doc_id"]].append(words(r["text"]))
+    for r in docs.collect():
+        own, (n, first) = words(r["text"]), taken[r["doc_id"]]
+        full, left = divmod(n, len(own)) if own else (0, 0)
+        cut = [(own + own)[first : first + left]] if left else []
+        assert sorted(got.get(r["doc_id"], []), key=repr) == sorted([own] * full + cut, key=repr), r["doc_id"]
+
+
 def test_near_copies_go(spark):
     body = " ".join(f"word{i}" for i in range(300))
     rows = [(1, body), (2, body.replace("word100 ", "other ")), (3, body), (4, " ".join(f"else{i}" for i in range(200))), (5, None), (6, "")]
