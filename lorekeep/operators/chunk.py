@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as t
@@ -43,16 +43,18 @@ def pieces(messages: DataFrame, max_chars: int = DEFAULT_CHARS) -> DataFrame:
 def pack(parts: DataFrame, max_chars: int = DEFAULT_CHARS) -> DataFrame:
     """Adds chunk (from 0): a new chunk begins when a chunk isn't empty and would pass max_chars.
 
-    The running sum with reset is a fold over one history's sizes: numbers only, gathered by history; texts are exploded back.
+    The running sum with reset is a fold over one history's sizes. Numbers only are gathered by history, and the fold
+    keeps just the places where chunks begin; a piece's chunk is the count of these up to it.
     """
-    rows = parts.groupBy("history_id").agg(F.sort_array(F.collect_list(F.struct("number", "part", "size", "role", "date", "text"))).alias("rows"))
-    start = F.struct(F.lit(-1).alias("chunk"), F.lit(1 << 30).cast("long").alias("held"), F.array().cast("array<int>").alias("out"))
+    sizes = parts.groupBy("history_id").agg(F.sort_array(F.collect_list(F.struct("number", "part", "size"))).alias("rows"))
+    start = F.struct(F.lit(1 << 30).cast("long").alias("held"), F.array().cast("array<struct<number:int,part:int>>").alias("begins"))
 
     def step(acc: Column, x: Column) -> Column:
         new = acc["held"] + x["size"] > check(max_chars)
-        chunk = F.when(new, acc["chunk"] + 1).otherwise(acc["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(new, x["size"].cast("long")).otherwise(acc["held"] + x["size"]).alias("held"), F.concat(acc["out"], F.array(chunk)).alias("out"))
+        here = F.array(F.struct(x["number"].cast("int").alias("number"), x["part"].cast("int").alias("part")))
+        return F.struct(F.when(new, x["size"].cast("long")).otherwise(acc["held"] + x["size"]).alias("held"), F.when(new, F.concat(acc["begins"], here)).otherwise(acc["begins"]).alias("begins"))
 
-    numbers = F.aggregate("rows", start, step, lambda a: a["out"])
-    zipped = F.explode(F.arrays_zip(F.col("rows"), numbers.alias("chunks")))
-    return rows.select("history_id", zipped.alias("z")).select("history_id", "z.rows.*", F.col("z.chunks").alias("chunk"))
+    begins = sizes.select("history_id", F.explode(F.aggregate("rows", start, step, lambda a: a["begins"])).alias("b")).select("history_id", "b.number", "b.part", F.lit(1).alias("_begins"))
+    upto = Window.partitionBy("history_id").orderBy("number", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = parts.join(begins, ["history_id", "number", "part"], "left")
+    return marked.select("history_id", "number", "part", "size", "role", "date", "text", (F.count("_begins").over(upto) - 1).cast("int").alias("chunk"))

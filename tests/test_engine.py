@@ -31,19 +31,54 @@ def test_markdown(spark):
 
 def test_json_shapes():
     p = lambda x: transcripts.parse_json(json.dumps(x), False)
-    assert p({"messages": [{"role": "human", "content": "a", "timestamp": "d"}, {"author": {"role": "assistant"}, "content": {"parts": ["x", "y"]}}]}) == [(1, "a", "user", "d"), (2, "x\n\ny", "assistant", None)]
-    assert p({"chat_messages": [{"sender": "bot", "text": "t", "created_at": 1700000000}]}) == [(1, "t", "assistant", "2023-11-14T22:13:20+00:00")]
+    assert p({"messages": [{"role": "human", "content": "a", "timestamp": "d"}, {"author": {"role": "assistant"}, "content": {"parts": ["x", "y"]}}]}) == [(1, "a", "human", "d", None), (2, "x\n\ny", "assistant", None, None)]
+    assert p({"chat_messages": [{"sender": "bot", "text": "t", "created_at": 1700000000}]}) == [(1, "t", "bot", None, 1.7e9)]
     node = lambda parent, text: {"parent": parent, "message": {"author": {"role": "user"}, "content": {"parts": [text]}}}
     tree = {"a": node(None, "1"), "b": node("a", "2"), "c": node("a", "other")}
-    assert [m[1] for m in p({"current_node": "b", "mapping": tree})] == ["1", "2"]
-    assert [m[1] for m in p({"mapping": {"b": node("a", "2"), "a": node("b", "1")}, "current_node": "b"})] == ["1", "2"]  # a cycle
-    assert [m[1] for m in p({"mapping": tree})] == ["1", "2", "other"]
-    assert p([{"role": None, "sender": "user", "text": "x", "date": None, "timestamp": "t"}]) == [(1, "x", None, None)]
-    deep = {"role": "user", "content": "x"}
-    for _ in range(70):
-        deep = [deep]
+    texts = lambda x: [m[1] for m in p(x)]
+    assert texts({"current_node": "b", "mapping": tree}) == ["1", "2"]
+    assert texts({"mapping": {"b": node("a", "2"), "a": node("b", "1")}, "current_node": "b"}) == ["1", "2"]  # a cycle
+    assert texts({"mapping": tree}) == ["1", "2", "other"] == texts({"mapping": tree, "current_node": "gone"})
+    assert texts({"mapping": {"a": None, "b": node("a", "x")}, "current_node": "a"}) == []  # a current node that is no object
+    assert texts({"mapping": {}, "messages": [{"role": "user", "text": "x"}]}) == []  # a mapping wins
+    times = {"a": node(None, "late"), "b": node(None, "early"), "c": node(None, "none"), "d": node(None, "same")}
+    for k, at in (("a", 9), ("b", 1.5), ("c", True), ("d", 1.5)):
+        times[k]["message"]["create_time"] = at
+    assert texts({"mapping": times}) == ["early", "same", "late", "none"]
+    assert p([{"role": None, "sender": "user", "text": "x", "date": None, "timestamp": "t"}]) == [(1, "x", None, None, None)]
+    assert texts({"messages": [], "items": [[{"role": "u", "text": "i"}]], "data": [{"role": "u", "text": "d"}]}) == ["i"]
+    assert texts([{"message": {"text": "no role"}}, {"text": "no role"}, {"role": "u", "content": ["", {"text": " a "}, [{"parts": ["b"], "text": "c"}], 5]}]) == ["no role", "a\n\nb"]
+    for depth, ok in ((64, True), (65, False)):
+        deep = {"role": "user", "content": "x"}
+        for _ in range(depth):
+            deep = [deep]
+        if ok:
+            assert texts(deep) == ["x"]
+        else:
+            with pytest.raises(ValueError):
+                p(deep)
     with pytest.raises(ValueError):
-        p(deep)
+        transcripts.parse_json("[" * 90 + "]" * 90, False)
+
+
+def test_times(spark):
+    df = spark.createDataFrame([(1.7e9,), (0.25,), (-1.5,), (1e15,), (None,)], "at double")
+    want = ["2023-11-14T22:13:20+00:00", "1970-01-01T00:00:00.250000+00:00", "1969-12-31T23:59:58.500000+00:00", None, None]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for z in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", z)
+        assert [r[0] for r in df.select(transcripts.iso_time(F.col("at"))).collect()] == want
+    spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_deep_tree(spark):
+    """A branch of 700 nodes, one that runs into a cycle, and a history without a current node."""
+    rows = [(1, str(i), str(i - 1), i, None, f"t{i}" if i % 2 else None, i == 699) for i in range(700)]
+    rows += [(2, "a", "c", 0, None, "a", False), (2, "b", "a", 1, None, "b", False), (2, "c", "b", 2, None, "c", True), (2, "d", "a", 3, None, "d", False)]
+    rows += [(3, "x", None, 0, 2.0, "x", False), (3, "y", "x", 1, 1.0, "y", False), (3, "z", "x", 2, None, "z", False)]
+    got = transcripts.tree(spark.createDataFrame(rows, "history_id long, node string, parent string, ord int, create_time double, text string, is_leaf boolean")).orderBy("history_id", "number").collect()
+    of = lambda h: [r["text"] for r in got if r["history_id"] == h]
+    assert of(1) == [f"t{i}" for i in range(1, 700, 2)] and of(2) == ["a", "b", "c"] and of(3) == ["y", "x", "z"]
 
 
 def test_detect_and_strict(spark):
@@ -58,6 +93,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.json").write_bytes(b'\xef\xbb\xbf[{"role":"user","content":"bom"}]')
     (tmp_path / "c.md").write_text("no marker here")
     assert sorted(r["text"] for r in transcripts.read_histories(spark, str(tmp_path)).collect()) == ["bom", "no marker here", "привет"]
+    (tmp_path / "d.txt").write_bytes(b"user: \x98\xff")
+    with pytest.raises(Exception, match="encoding"):
+        transcripts.read_histories(spark, str(tmp_path)).collect()
 
 
 def test_names(spark):
