@@ -2,62 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.sources.runtime import ship
+from lorekeep.sources.runtime import cut, discard, ship, shared_dir  # noqa: F401
 
 #: Bytes of text that a Python worker holds as one unit of work.
 UNIT_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, in one process as in tests) a temporary one that is set now."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: lineage ends here and a lost executor costs no recomputation.
-
-    Then the driver's JVM collects its garbage, so that Spark removes the shuffle files of what is over; else they would
-    fill disks until memory runs low. The table's files go with discard(), or when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lorekeep-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _fs(spark, path).deleteOnExit(_path(spark, path))
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lorekeep_path = path
-    return out
-
-
-def _path(spark: SparkSession, path: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def _fs(spark: SparkSession, path: str):
-    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of tables made by cut() which nothing reads any more."""
-    for t in tables:
-        _fs(t.sparkSession, t._lorekeep_path).delete(_path(t.sparkSession, t._lorekeep_path), True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
