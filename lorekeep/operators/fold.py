@@ -1,8 +1,13 @@
-"""Decisions and tasks: matching is fuzzy, not transitive and depends on order, so each project is folded in order by a grouped function."""
+"""Decisions and tasks: matching is fuzzy, not transitive and depends on order, so each project is folded in order by a grouped function.
+
+A text is compared only with those that can be like it: an index of the kept texts gives those with the same key, with two
+shared tokens, or with as many tokens and about as many letters.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -12,9 +17,10 @@ from pyspark.sql import functions as F
 from lorekeep.functions.text import STOP
 from lorekeep.sources.runtime import ship
 
+from .document import TASK_FIELDS
+
 _STOP = re.compile(rf"\b({STOP})\b")
 _TOKEN = re.compile(r"[\w+#.]+")
-TASK_LISTS = ["current", "todo", "completed", "idea", "bug"]
 _RANK = {"LOW": 0, "HIGH": 2}
 
 
@@ -29,24 +35,56 @@ class Probe:
         self.key = key(text)
         self.tokens = frozenset(self.key.split())
 
-    def like(self, other: "Probe") -> bool:
+    def shares(self, other: "Probe") -> bool:
+        """Equal keys, or enough shared tokens."""
         if not self.key or not other.key:
             return False
-        if self.key == other.key:
-            return True
         a, b = self.tokens, other.tokens
         both = len(a & b)
-        if both >= 2 and (both >= 0.75 * len(a | b) or (both == min(len(a), len(b)) and abs(len(a) - len(b)) <= 1)):
-            return True
-        if len(a) != len(b):
+        return self.key == other.key or both >= 2 and (both >= 0.75 * len(a | b) or (both == min(len(a), len(b)) and abs(len(a) - len(b)) <= 1))
+
+    def spelled(self, other: "Probe") -> bool:
+        """As many tokens, and nearly the same letters; self is the text that was there before."""
+        if not self.key or not other.key or len(self.tokens) != len(other.tokens):
             return False
         short, long = sorted((len(self.key), len(other.key)))
-        return short >= long * 9 / 11 and SequenceMatcher(None, self.key, other.key).ratio() >= 0.9  # a ratio of 0.9 needs these lengths
+        if short < long * 9 / 11:  # a ratio of 0.9 needs these lengths
+            return False
+        m = SequenceMatcher(None, self.key, other.key)
+        return m.quick_ratio() >= 0.9 and m.ratio() >= 0.9
+
+    def like(self, other: "Probe") -> bool:
+        return self.shares(other) or self.spelled(other)
 
     def named_by(self, reference: "Probe") -> bool:
         return bool(self.key and reference.key) and (Probe(self.key).like(Probe(reference.key)) or reference.tokens <= self.tokens)
 
 
+class Kept:
+    """Numbered texts, and which of them are like another one."""
+
+    def __init__(self):
+        self.probes: dict[int, Probe] = {}
+        self.by_key, self.by_token, self.by_size = defaultdict(set), defaultdict(set), defaultdict(set)
+
+    def add(self, n: int, p: Probe) -> None:
+        self.probes[n] = p
+        for index, k in self._places(p):
+            index[k].add(n)
+
+    def drop(self, n: int) -> None:
+        for index, k in self._places(self.probes.pop(n)):
+            index[k].discard(n)
+
+    def _places(self, p: Probe):
+        return [(self.by_key, p.key), (self.by_size, len(p.tokens)), *[(self.by_token, x) for x in p.tokens]]
+
+    def like(self, p: Probe) -> set[int]:
+        met = Counter(n for x in p.tokens for n in self.by_token[x])
+        out = {n for n in {*self.by_key[p.key], *(n for n, c in met.items() if c > 1)} if self.probes[n].shares(p)}
+        return out | {n for n in self.by_size[len(p.tokens)] - out if self.probes[n].spelled(p)}
+
+
 def _absorb(item: dict, new: dict) -> None:
     item["blocks"] = sorted({*item["blocks"], *new["blocks"]})
     item["evidence"] += [e for e in new["evidence"] if e not in item["evidence"]]
@@ -57,68 +95,80 @@ def _absorb(item: dict, new: dict) -> None:
 
 
 def fold_decisions(rows: list[dict]) -> list[dict]:
-    """The first similar stored decision absorbs a new one; one that is new supersedes those its `previous` names."""
-    kept: list[tuple[Probe, dict]] = []
+    """Stored decisions stay as they are. The first similar one absorbs a new decision; one that is new supersedes those its `previous` names."""
+    kept, items = Kept(), []
     for r in rows:
         text = (r["text"] or "").strip()
-        if not text:
+        if not text and not r["is_old"]:
             continue
         mine = Probe(text)
-        twin = next((d for p, d in kept if p.like(mine)), None)
-        if twin is not None:
+        twins = set() if r["is_old"] else kept.like(mine)
+        if twins:
+            twin = items[min(twins)]
             _absorb(twin, r)
             twin.update({k: r[k] for k in ("reason", "date", "previous") if r[k]})
             continue
-        if (r["previous"] or "").strip():
+        if not r["is_old"] and (r["previous"] or "").strip():
             old = Probe(r["previous"].strip())
-            for p, d in kept:
+            for n, p in kept.probes.items():
                 if p.named_by(old):
-                    d["status"] = "superseded"
-        kept.append((mine, r))
-    return [d for _, d in kept]
+                    items[n]["status"] = "superseded"
+        kept.add(len(items), mine)
+        items.append(r | {"field": "decisions"})
+    return items
 
 
 def fold_tasks(rows: list[dict]) -> list[dict]:
-    """A new task takes all similar ones out of every list, goes on with the first one's id and history under its own title and status."""
-    lists: dict[str, list[tuple[Probe, dict]]] = {s: [] for s in TASK_LISTS}
-    for r in rows:
+    """Stored tasks stay in their lists. A new task takes all similar ones out of every list, goes on with the first one's id and history under its own title and status."""
+    order = {f: i for i, f in enumerate(TASK_FIELDS)}
+    of_status = {s: f for f, s in TASK_FIELDS.items()}
+    kept, items = Kept(), {}
+    for n, r in enumerate(rows):
         title = (r["text"] or "").strip()
+        if r["is_old"]:
+            items[n] = r
+            kept.add(n, Probe(title))
+            continue
         if not title:
             continue
-        status, mine, first = r["status"] if r["status"] in lists else "todo", Probe(title), None
-        if not r["is_old"]:
-            for name in TASK_LISTS:
-                hit = [d for p, d in lists[name] if p.like(mine)]
-                lists[name] = [x for x in lists[name] if not x[0].like(mine)] if hit else lists[name]
-                first = first or next(iter(hit), None)
-        task = r
-        if first is not None:
-            _absorb(first, r)
-            task = first | {"text": r["text"], "status": status}
-        lists[status].append((mine, task | {"status": status}))
-    return [d for name in TASK_LISTS for _, d in lists[name]]
+        field = of_status.get(r["status"], "todo_tasks")
+        task, mine = r, Probe(title)
+        gone = sorted(kept.like(mine), key=lambda k: (order[items[k]["field"]], k))
+        if gone:
+            task = items[gone[0]]
+            _absorb(task, r)
+            for k in gone:
+                kept.drop(k)
+                del items[k]
+        items[n] = task | {"text": r["text"], "status": TASK_FIELDS[field], "field": field}
+        kept.add(n, mine)
+    return sorted(items.values(), key=lambda r: order[r["field"]])  # stable: each list in the order in which its items came
 
 
-SCHEMA = "project string, place int, id string, text string, status string, confidence string, blocks array<int>, evidence array<struct<source:string,source_blocks:array<int>,observed_at:string>>, reason string, date string, previous string"
+SCHEMA = "project string, field string, pos long, id string, text string, status string, confidence string, blocks array<int>, evidence array<struct<source:string,source_blocks:array<int>,observed_at:string>>, reason string, date string, previous string"
 
 
 def fold(items: DataFrame, kind: str) -> DataFrame:
-    """items: (project, pos, is_old, id, text, status, confidence, blocks, evidence, reason, date, previous); kind: decisions or tasks.
+    """items: (project, field, pos, is_old, id, text, status, confidence, blocks, evidence, reason, date, previous); kind: decisions or tasks. pos of the result is the place in its list.
 
-    Group order isn't given by Spark, so a project is sorted by (is_old desc, pos) inside the function.
+    Group order isn't given by Spark, so a project is sorted by (is_old desc, list, pos) inside the function.
     """
     own = fold_decisions if kind == "decisions" else fold_tasks
+    order = {f: i for i, f in enumerate(TASK_FIELDS)}
+    cols = [c.split(" ")[0] for c in re.split(r", (?=\w+ )", SCHEMA)]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["is_old", "pos"], ascending=[False, True])
-        rows = [r | {"blocks": [int(x) for x in r["blocks"]], "evidence": [dict(e, source_blocks=[int(x) for x in e["source_blocks"]]) for e in r["evidence"]]} for r in g.to_dict("records")]
-        out = own(rows)
-        cols = [c.split(" ")[0] for c in re.split(r", (?=\w+ )", SCHEMA)]
-        return pd.DataFrame([{**r, "place": i} for i, r in enumerate(out)], columns=cols)
+        rows = sorted(g.to_dict("records"), key=lambda r: (not r["is_old"], order.get(r["field"], 0) if r["is_old"] else 0, r["pos"]))
+        for r in rows:
+            r["blocks"] = [int(x) for x in r["blocks"]]
+            r["evidence"] = [dict(e, source_blocks=[int(x) for x in e["source_blocks"]]) for e in r["evidence"]]
+        places: Counter = Counter()
+        out = []
+        for r in own(rows):
+            out.append({**r, "pos": places[r["field"]]})
+            places[r["field"]] += 1
+        return pd.DataFrame(out, columns=cols)
 
     ship(items.sparkSession)
-    return items.groupBy("project").applyInPandas(run, SCHEMA)
-
-
-def with_evidence(items: DataFrame, source: str, observed_at: str) -> DataFrame:
-    return items.withColumn("evidence", F.array(F.struct(F.lit(source).alias("source"), F.col("blocks").alias("source_blocks"), F.lit(observed_at).alias("observed_at"))))
+    kept = items.withColumn("project", F.col("project").cast("string"))
+    return kept.groupBy("project").applyInPandas(run, SCHEMA)

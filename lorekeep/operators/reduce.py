@@ -16,6 +16,10 @@ def check_fan_in(n: int) -> int:
     return n
 
 
+def in_order(*keys: str):
+    return Window.partitionBy(*keys).orderBy("pos")
+
+
 def union_blocks(c: str) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
 
@@ -26,20 +30,26 @@ def last_text(value: Column, pos: Column) -> Column:
 
 
 def reduce_items(items: DataFrame) -> DataFrame:
-    """items: (project, field, pos, text, status, confidence, blocks), pos in chunk order.
+    """items: (project, field, pos, text, status, confidence, blocks and, if there are, reason, date, previous), pos in chunk order.
 
     One row for each (project, field, extraction key): first position, last text, union of blocks, highest confidence;
-    tasks take the last status, facts are disputed if ever disputed, else superseded if ever, else as first seen.
+    tasks take the last status, facts are disputed if ever disputed, else superseded if ever, else as first seen; reason,
+    date and previous are the last that aren't empty. Plain strings, which have no confidence, yield to any other item of
+    the key; among themselves the first stays.
     """
-    x = items.withColumn("key", t.collapse(F.col("text"))).where("key <> ''").withColumn("rank", t.confidence_rank(F.col("confidence")))
+    plain = F.col("confidence").isNull()
+    bare = items.withColumn("key", t.collapse(F.col("text"))).groupBy("project", "field", "key").agg(F.min("pos").alias("_at"), (F.max(F.when(plain, 0).otherwise(1)) == 1).alias("_rich"), F.min_by("text", "pos").alias("_first"))
+    items = items.withColumn("key", t.collapse(F.col("text"))).join(bare, ["project", "field", "key"]).where(~(plain & F.col("_rich")))
+    more = [c for c in ("reason", "date", "previous") if c in items.columns]
+    x = items.where("key <> ''").withColumn("rank", t.confidence_rank(F.col("confidence")))
     task = F.col("field") == "tasks"
     ever = lambda s: F.max(F.when(F.col("status") == s, 1).otherwise(0)) == 1
     g = x.groupBy("project", "field", "key").agg(
-        F.min("pos").alias("pos"), last_text(F.col("text"), F.col("pos")).alias("text"), union_blocks("blocks").alias("blocks"),
-        F.max_by("confidence", F.struct("rank", -F.col("pos"))).alias("confidence"), last_text(F.col("status"), F.col("pos")).alias("last"),
+        F.first("_at").alias("_at"), F.first("_rich").alias("_rich"), F.first("_first").alias("_first"), last_text(F.col("text"), F.col("pos")).alias("text"), union_blocks("blocks").alias("blocks"),
+        F.min_by("confidence", F.struct(-F.col("rank"), "pos")).alias("confidence"), *[last_text(F.col(c), F.col("pos")).alias(c) for c in more], last_text(F.col("status"), F.col("pos")).alias("last"),
         ever("disputed").alias("disputed"), ever("superseded").alias("superseded"), F.min_by("status", "pos").alias("first"))
     status = F.when(task, F.col("last")).when(F.col("disputed"), "disputed").when(F.col("superseded"), "superseded").otherwise(F.coalesce("first", F.lit("active")))
-    return g.select("project", "field", "key", "pos", "text", status.alias("status"), "confidence", "blocks")
+    return g.select("project", "field", "key", F.col("_at").alias("pos"), F.when(F.col("_rich"), F.col("text")).otherwise(F.col("_first")).alias("text"), status.alias("status"), "confidence", "blocks", *more)
 
 
 def reduce_scalars(scalars: DataFrame) -> DataFrame:
@@ -55,13 +65,15 @@ def reduce_candidates(c: DataFrame) -> DataFrame:
     rank = t.confidence_rank(F.col("confidence"))
     once = F.count("*") == 1
     both = lambda n: F.when(once, F.first(n)).otherwise(union_blocks(n)).alias(n)
-    return c.groupBy("project").agg(F.min_by("display_name", "chunk").alias("display_name"), both("aliases"), both("message_numbers"), F.max_by("confidence", F.struct(rank, -F.col("chunk"))).alias("confidence"))
+    return c.groupBy("project").agg(F.min_by("display_name", "chunk").alias("display_name"), both("aliases"), both("message_numbers"), F.min_by("confidence", F.struct(-rank, "chunk")).alias("confidence"))
 
 
-def names_from_list(names: DataFrame, ascii_only: bool = False) -> DataFrame:
-    """(id, names): a comma-separated list as candidates; blanks go, the first of equal safe names stays."""
+def names_from_list(names: DataFrame, ascii_only: bool = False, keep_bad: bool = False) -> DataFrame:
+    """(id, names): a comma-separated list as candidates; blanks go, the first of equal safe names stays. Names that no file could have go too or, keep_bad, have a null project."""
     x = names.select("id", F.posexplode(F.split("names", ",")).alias("pos", "raw")).withColumn("raw", t.strip(F.col("raw"))).where("raw <> ''")
     x = x.withColumn("project", t.safe_name(F.col("raw"), ascii_only))
+    if not keep_bad:
+        x = x.where("project IS NOT NULL")
     w = Window.partitionBy("id", "project").orderBy("pos")
     return x.withColumn("n", F.row_number().over(w)).where("n = 1").select("id", "project", "pos", F.col("raw").alias("display_name"), F.lit("HIGH").alias("confidence"))
 

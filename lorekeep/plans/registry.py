@@ -104,10 +104,10 @@ def p1(spark, sf_dir):
     return c.select(F.col("conv_id").alias("history_id"), "turn", t.stable_id(F.lit("message"), F.col("text")).alias("item_id"))
 
 
-@query("p2_safe_names", _M + r""", x AS (SELECT history_id, number, regexp_replace(regexp_replace(regexp_replace(lower(trim(substr(text, 1, 60))), '[\s-]+', '_', 'g'), '[^\p{L}\p{N}_.]', '', 'g'), '^[._]+|[._]+$', '', 'g') AS n FROM messages)
+@query("p2_safe_names", _M + r""", x AS (SELECT history_id, number, regexp_replace(regexp_replace(regexp_replace(lower(trim(text)), '[\s-]+', '_', 'g'), '[^\p{L}\p{N}_.]', '', 'g'), '^[._]+|[._]+$', '', 'g') AS n FROM messages)
 SELECT history_id, number, nullif(regexp_replace(substr(n, 1, 80), '[. ]+$', ''), '') AS name FROM x""")
 def p2(spark, sf_dir):
-    return synth.messages(spark, sf_dir).select("history_id", "number", t.safe_name(F.substring("text", 1, 60)).alias("name"))
+    return synth.messages(spark, sf_dir).select("history_id", "number", t.safe_name(F.col("text")).alias("name"))
 
 
 @query("p3_useful_lines", _M + f", x AS (SELECT history_id, number, {_LINES} AS l FROM messages) SELECT history_id, number, (i - 1)::INT AS line_no, l[i] AS line FROM x, generate_series(1, len(l)) AS g(i)")
@@ -248,14 +248,48 @@ def a4(spark, sf_dir):
     return reduce.reduce_items(_observed(spark, sf_dir)).withColumn("blocks", F.array_join(F.col("blocks").cast("array<string>"), ","))
 
 
-@query("a5_fact_merge", _OBS + f""", k AS (SELECT *, {_KEY.replace('{0}', 'text')} AS key, CASE confidence WHEN 'LOW' THEN 0 WHEN 'HIGH' THEN 2 ELSE 1 END AS rank FROM ob)
-SELECT project, field, key, min(pos) AS pos, arg_min(substr(sha256(field || chr(0) || {_COLLAPSE.replace('{0}', 'text')}), 1, 20), pos) AS id, arg_min(text, pos) AS text,
-  coalesce(arg_max(status, pos) FILTER (status <> 'active'), 'active') AS status, arg_max(confidence, struct_pack(r := rank, p := -pos)) AS confidence, array_to_string(list_sort(list_distinct(flatten(list(blocks)))), ',') AS blocks,
-  len(list_distinct(list(array_to_string(blocks, ','))))::INT AS n_evidence FROM k {_G}""")
+#: Stored and new facts: of every third history they are stored. SQL keeps all stored rows and lets the last of a key take the new ones.
+_FACTS = _OBS + f""", k AS (SELECT *, pos // 1000 % 3 = 0 AS is_old, {_KEY.replace('{0}', 'text')} AS key, CASE confidence WHEN 'LOW' THEN 0 WHEN 'HIGH' THEN 2 ELSE 1 END AS rank FROM ob WHERE field = 'constraints'),
+slots AS (SELECT *, CASE WHEN is_old THEN row_number() OVER (PARTITION BY project, field, key ORDER BY is_old DESC, pos DESC) ELSE 1 END AS slot, NOT is_old AS fresh FROM k),
+merged AS (SELECT project, field, key, slot, arg_min(pos, struct_pack(f := fresh, p := pos)) AS pos, bool_or(is_old) AS is_old, arg_min(text, struct_pack(f := fresh, p := pos)) AS text,
+  coalesce(arg_max(status, struct_pack(f := fresh, p := pos)) FILTER (status <> 'active'), 'active') AS status, arg_max(confidence, struct_pack(r := rank, f := NOT fresh, p := -pos)) AS confidence,
+  array_to_string(list_sort(list_distinct(flatten(list(blocks)))), ',') AS blocks, len(list_distinct(list(array_to_string(list_sort(list_distinct(blocks)), ','))))::INT AS n_evidence FROM slots GROUP BY project, field, key, slot)"""
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _observed(spark, sf_dir).where("field = 'constraints'").withColumn("project", F.col("project").cast("string"))
+    return reconcile.canonical(o, F.lit("events"), F.lit("2024-01-01T00:00:00")).withColumn("is_old", F.floor(F.col("pos") / 1000) % 3 == 0)
+
+
+@query("a5_fact_merge", _FACTS + f""" SELECT project::VARCHAR AS project, field, key, pos, is_old, substr(sha256(field || chr(0) || {_COLLAPSE.replace('{0}', 'text')}), 1, 20) AS id, text, status, confidence, blocks, n_evidence FROM merged""")
 def a5(spark, sf_dir):
-    o = _observed(spark, sf_dir).withColumn("source", F.lit("events")).withColumn("observed_at", F.lit("2024-01-01T00:00:00"))
-    r = reconcile.merge_facts(o)
-    return r.select("project", "field", "key", "pos", "id", "text", "status", "confidence", F.array_join(F.col("blocks").cast("array<string>"), ",").alias("blocks"), F.size("evidence").alias("n_evidence"))
+    r = reconcile.merge_items(_facts(spark, sf_dir))
+    return r.select("project", "field", t.match_key(F.col("text")).alias("key"), "pos", "is_old", "id", "text", "status", "confidence", F.array_join(F.col("blocks").cast("array<string>"), ",").alias("blocks"), F.size("evidence").alias("n_evidence"))
+
+
+_TECH = "CASE (event_id2 + number) % 5 WHEN 0 THEN 'Redis' WHEN 1 THEN 'SQLite' WHEN 2 THEN 'Postgres' WHEN 3 THEN 'Flask' ELSE 'MySQL' END"
+
+
+@query("j9_technology_changes", _M + f""", m AS (SELECT *, length(text) AS event_id2, history_id * 1000 + number AS pos FROM messages),
+tech AS (SELECT history_id AS project, {_TECH} AS text, min(pos) AS pos FROM m WHERE number <= 3 GROUP BY ALL),
+ch AS (SELECT history_id AS project, pos, {_TECH} AS old_name, CASE (event_id2 * 3 + number) % 6 WHEN 0 THEN 'Redis' WHEN 1 THEN 'SQLite' WHEN 2 THEN 'Postgres' WHEN 3 THEN 'Flask' WHEN 4 THEN 'MySQL' ELSE 'Kafka' END AS new_name FROM m WHERE number > 3 AND number % 3 = 0),
+names AS (SELECT project, lower(text) AS key, min(pos) AS born, true AS base FROM tech GROUP BY ALL UNION ALL
+  SELECT project, lower(new_name), min(pos), false FROM ch c WHERE NOT EXISTS (FROM tech t WHERE t.project = c.project AND lower(t.text) = lower(c.new_name)) GROUP BY ALL)
+SELECT n.project::VARCHAR AS project, n.key, CASE WHEN bool_or(lower(c.old_name) = n.key AND (n.base OR c.pos > n.born)) THEN 'superseded' ELSE 'active' END AS status,
+  CASE WHEN bool_or(lower(c.new_name) = n.key) OR NOT n.base THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM names n LEFT JOIN ch c ON c.project = n.project GROUP BY n.project, n.key, n.base, n.born""".replace("names AS (", "born AS (").replace("FROM names n", "FROM born n"))
+def j9(spark, sf_dir):
+    """Technologies of a history's first messages, and every third later message as a change of one into another, chains and returns among them."""
+    m = synth.messages(spark, sf_dir).withColumn("pos", F.col("history_id") * 1000 + F.col("number")).withColumn("n", F.length("text"))
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i + 1).cast("int"))
+    name = pick(["Redis", "SQLite", "Postgres", "Flask", "MySQL"], (F.col("n") + F.col("number")) % 5)
+    empty = [F.lit("").alias(c) for c in ("reason", "date", "previous")]
+    rows = lambda d, text, f: d.select(F.col("history_id").cast("string").alias("project"), F.lit(f).alias("field"), "pos", text.alias("text"), F.lit("active").alias("status"), F.lit("MEDIUM").alias("confidence"), F.array("number").alias("blocks"), *empty)
+    tech = reconcile.canonical(rows(m.where("number <= 3"), name, "technologies"), F.lit("events"), F.lit("t"))
+    other = pick(["Redis", "SQLite", "Postgres", "Flask", "MySQL", "Kafka"], (F.col("n") * 3 + F.col("number")) % 6)
+    says = F.concat(F.lit("we move from "), name, F.lit(" to "), other)
+    d = reconcile.canonical(rows(m.where("number > 3 AND number % 3 = 0"), says, "decisions"), F.lit("events"), F.lit("t"))
+    done = reconcile.apply_changes(reconcile.placed(reconcile.merge_items(tech)), reconcile.technology_changes(d))
+    return done.select("project", t.match_key(F.col("text")).alias("key"), "status", "confidence")
 
 
 @query("a8_scalar_reduce", _M + f""", s AS (SELECT history_id, number, CASE WHEN number % 4 = 0 THEN '' WHEN number % 3 = 0 THEN '{t.NEEDS_REVIEW} ' || text ELSE text END AS v FROM messages)
@@ -343,22 +377,32 @@ def src10(spark, sf_dir):
     return transcripts.tree(nodes)
 
 
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of all histories by project, in order; those of the first half of each project's order are stored already."""
+    _, _, rel = _flow(spark, sf_dir)
+    pos = F.col("history_id") * 100_000 + F.col("number") * 100 + F.col("line_no")
+    d = extract.lines(rel).where("is_decision").select("project", F.lit("decisions").alias("field"), pos.alias("pos"), F.col("line").alias("text"), F.lit("active").alias("status"), F.lit("HIGH").alias("confidence"), F.array("number").alias("blocks"),
+                                                       F.lit("").alias("reason"), F.coalesce("date", F.lit("")).alias("date"), F.regexp_extract("line", reconcile.CHANGE, 1).alias("previous"))
+    return reconcile.canonical(d, F.lit("events"), F.lit("2024-01-01T00:00:00")).withColumn("is_old", F.col("pos") % 100_000 % 700 < 100)
+
+
 @query("j6_decision_fold")
 def j6(spark, sf_dir):
-    m, _, rel = _flow(spark, sf_dir)
-    d = extract.lines(rel).where("is_decision").select("project", (F.col("history_id") * 100_000 + F.col("number") * 100 + F.col("line_no")).alias("pos"), F.lit(False).alias("is_old"), t.stable_id(F.lit("decisions"), F.col("line")).alias("id"), F.col("line").alias("text"),
-        F.lit("active").alias("status"), F.lit("HIGH").alias("confidence"), F.array("number").alias("blocks"), F.lit("").alias("reason"), F.coalesce("date", F.lit("")).alias("date"), F.regexp_extract("line", reconcile.CHANGE, 1).alias("previous"))
-    out = fold.fold(fold.with_evidence(d, "events", "2024-01-01T00:00:00"), "decisions")
-    return out.select("project", "place", "id", "text", "status", "date", "previous", F.size("evidence").alias("n_evidence"))
+    """Stored decisions, two and more of one text among them, stay as they are; new ones are folded in order."""
+    out = fold.fold(_decisions(spark, sf_dir), "decisions")
+    return out.select("project", "pos", "id", "text", "status", "date", "previous", F.size("evidence").alias("n_evidence"))
 
 
 @query("j8_task_fold")
 def j8(spark, sf_dir):
+    """Tasks of all histories; one in seven messages' are stored already, in the list of their status."""
     _, _, rel = _flow(spark, sf_dir)
-    d = extract.lines(rel).where("status IS NOT NULL").select("project", (F.col("history_id") * 100_000 + F.col("number") * 100 + F.col("line_no")).alias("pos"), F.lit(False).alias("is_old"), t.stable_id(F.lit("tasks"), F.col("line")).alias("id"), F.col("line").alias("text"),
-        "status", F.lit("MEDIUM").alias("confidence"), F.array("number").alias("blocks"), *[F.lit("").alias(c) for c in ("reason", "date", "previous")])
-    out = fold.fold(fold.with_evidence(d, "events", "2024-01-01T00:00:00"), "tasks")
-    return out.select("project", "place", "id", "text", "status", F.size("evidence").alias("n_evidence"))
+    pos = F.col("history_id") * 100_000 + F.col("number") * 100 + F.col("line_no")
+    d = extract.lines(rel).where("status IS NOT NULL").select("project", F.lit("tasks").alias("field"), pos.alias("pos"), F.col("line").alias("text"), "status", F.lit("MEDIUM").alias("confidence"), F.array("number").alias("blocks"))
+    x = reconcile.canonical(d, F.lit("events"), F.lit("2024-01-01T00:00:00")).withColumn("is_old", F.col("pos") % 100_000 % 700 < 100)
+    lists = F.create_map(*[v for f, s in document.TASK_FIELDS.items() for v in (F.lit(s), F.lit(f))])
+    out = fold.fold(x.withColumn("field", F.when(F.col("is_old"), lists[F.col("status")]).otherwise(F.col("field"))), "tasks")
+    return out.select("project", "field", "pos", "id", "text", "status", F.size("evidence").alias("n_evidence"))
 
 
 @query("src2_detect_format", "SELECT conv_id AS history_id, (turn + 1)::INT AS number, trim(text) AS text, role, CASE conv_id % 4 WHEN 3 THEN '2024-01-01' END AS date FROM conversations")

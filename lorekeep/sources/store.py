@@ -1,18 +1,29 @@
-"""Versioned storage of project documents: each commit writes a new folder and then moves one pointer file; readers follow the pointer.
+"""Versioned storage of project documents: each commit writes a new folder of files and then creates one numbered pointer; readers follow the highest pointer.
 
-A crash before the move leaves the old version current, a crash after it the new one; folders nobody points to are
-dropped by recover(). A commit names the version it was made from, and fails if another is current by then.
-Other files in a project's folder are left alone. Paths go through Hadoop's file systems, so any store that Spark writes will do.
+Pointers are created exclusively and never changed, so exactly one of two commits on the same version wins, and a reader
+sees the old or the new version and nothing between. A crash before the pointer is written leaves the old version
+current, a crash after it the new one. An empty pointer is a commit under way; after GRACE seconds it counts as one that
+crashed. recover() drops folders that no pointer names, but none that a live writer may still be filling. Other files in
+a project's folder are left alone. Paths go through Hadoop's file systems, so any store that Spark writes will do.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorekeep.operators import document
+
 NAME = re.compile(r"^[^\W_][\w.]*(?<![. ])$")
+FILE = re.compile(r"^[\w][\w.-]*$")
+#: Names of a document's files, fixed values: the data, and four to read.
+DATA = "memory.json"
+READABLE = {"context": "PROJECT_CONTEXT.md", "decisions": "DECISIONS.md", "tasks": "TASKS.md", "agents": "AGENTS.md"}
+GRACE = 60.0
 
 
 class Stale(RuntimeError):
@@ -36,61 +47,100 @@ class Store:
             raise ValueError(f"not a project name: {project!r}")
         return project
 
-    def version(self, project: str) -> str | None:
-        """The current version's folder name; None if there is none."""
-        p = self._path(self._folder(project), "CURRENT")
-        if not self._fs().exists(p):
-            return None
-        stream = self._fs().open(p)
+    def _names(self, *parts: str) -> dict[str, float]:
+        """What lies in a folder, and when each was last changed."""
+        fs, p = self._fs(), self._path(*parts)
+        return {s.getPath().getName(): s.getModificationTime() / 1000 for s in fs.listStatus(p)} if fs.exists(p) else {}
+
+    def _no_links(self, project: str) -> None:
+        fs = self._fs()
+        for parts in [(project,), *((project, n) for n in self._names(project))]:
+            p = self._path(*parts)
+            # a local folder is the driver's own; other file systems say so themselves
+            if os.path.islink(p.toUri().getPath()) if fs.getScheme() == "file" else fs.exists(p) and fs.getFileLinkStatus(p).isSymlink():
+                raise ValueError(f"a link is no place for documents: {p}")
+
+    def _get(self, *parts: str) -> str:
+        stream = self._fs().open(self._path(*parts))
         try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
-    def read(self, project: str) -> DataFrame | None:
+    def _put(self, text: str, *parts: str) -> None:
+        out = self._fs().create(self._path(*parts), False)
+        try:
+            out.write(bytearray(text.encode()))
+            out.hsync()
+        finally:
+            out.close()
+
+    def _pointers(self, project: str) -> list[tuple[int, str, float]]:
+        """(number, version or '', age in seconds), the highest first."""
+        found = sorted(((int(n[2:]), n, at) for n, at in self._names(project).items() if re.fullmatch(r"P-\d+", n)), reverse=True)
+        return [(k, self._get(project, n).strip(), time.time() - at) for k, n, at in found]
+
+    def version(self, project: str) -> str | None:
+        """The current version's folder name; None if there is none."""
+        return next((v for _, v, _ in self._pointers(self._folder(project)) if v), None)
+
+    def files(self, project: str) -> dict[str, str] | None:
+        """The current files by name."""
+        v = self.version(project)
+        return None if v is None else {n: self._get(project, v, n) for n in self._names(project, v) if not n.startswith(".")}
+
+    def load(self, project: str) -> tuple[DataFrame, DataFrame, str] | None:
+        """The stored document and its items, brought up to the present version, and the folder they are from. What is broken, or of another project, is an error."""
         v = self.version(project)
-        return None if v is None else self.spark.read.parquet(f"{self.root}/{project}/{v}")
+        if v is None:
+            return None
+        raw = self.spark.createDataFrame([(project, self._get(project, v, DATA))], "project string, content string")
+        broken = document.document_errors(raw).limit(5).collect()
+        if broken:
+            raise ValueError(f"{project}: " + "; ".join(f"{r['place']} {r['rule']}".strip() for r in broken))
+        own = raw.selectExpr("get_json_object(content, '$.project')").first()[0]
+        if own != project:
+            raise ValueError(f"{project} holds the document of {own}")
+        return *document.read_documents(raw), v
 
     def projects(self) -> list[str]:
-        fs = self._fs()
-        if not fs.exists(self._path()):
-            return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(self._path()) if s.isDirectory() and fs.exists(self._path(s.getPath().getName(), "CURRENT")))
+        return sorted(n for n in self._names() if NAME.match(n) and self._names(n) and self.version(n) is not None)
 
-    def commit(self, project: str, document: DataFrame, based_on: str | None) -> str:
-        """Write document as a new version on top of based_on (None: the first). Raises Stale, and leaves everything as it was, if another version is current."""
+    def only_project(self) -> str | None:
+        """The stored project, if there is exactly one."""
+        own = self.projects()
+        return own[0] if len(own) == 1 else None
+
+    def commit(self, project: str, files: dict[str, str], based_on: str | None) -> str:
+        """Write files as a new version on top of based_on (None: the first). Raises Stale, and leaves everything as it was, if another version is current or being made."""
         self._folder(project)
-        new = f"v-{uuid.uuid4().hex}"
-        document.write.parquet(f"{self.root}/{project}/{new}")
-        fs, lock = self._fs(), self._path(project, "LOCK")
-        try:
-            fs.create(lock, False).close()  # exclusive
-        except Exception as e:
-            fs.delete(self._path(project, new), True)
-            raise Stale("another commit holds the lock") from e
+        bad = [n for n in files if not FILE.match(n)]
+        if bad:
+            raise ValueError(f"not a file name: {bad[0]!r}")
+        self._no_links(project)
+        new, fs = f"v-{uuid.uuid4().hex}", self._fs()
+        fs.mkdirs(self._path(project, new))
         try:
-            if self.version(project) != based_on:
-                fs.delete(self._path(project, new), True)
+            for name, text in files.items():
+                self._put(text, project, new, name)
+            pointers = self._pointers(project)
+            if any(not v and age < GRACE for _, v, age in pointers) or next((v for _, v, _ in pointers if v), None) != based_on:
                 raise Stale(f"{project} has changed")
-            tmp = self._path(project, f".CURRENT-{new}")
-            out = fs.create(tmp, True)
-            out.write(bytearray(new.encode()))
-            out.close()
-            target = self._path(project, "CURRENT")
-            fs.delete(target, False)
-            fs.rename(tmp, target)
-        finally:
-            fs.delete(lock, False)
+            try:
+                self._put(new, project, f"P-{pointers[0][0] + 1 if pointers else 1:012d}")
+            except Exception as e:
+                raise Stale(f"another commit of {project} came first") from e
+        except BaseException:
+            fs.delete(self._path(project, new), True)
+            raise
         return new
 
     def recover(self, project: str) -> None:
-        """After a crash: a pointer written but not moved is moved if none is there; other versions and leftovers go."""
-        fs, folder = self._fs(), self._path(self._folder(project))
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        waiting = sorted(n for n in names if n.startswith(".CURRENT-"))
-        if "CURRENT" not in names and len(waiting) == 1:
-            fs.rename(self._path(project, waiting[0]), self._path(project, "CURRENT"))
-        now = self.version(project)
-        for n in names:
-            if (n.startswith("v-") and n != now) or n.startswith(".CURRENT-") or n == "LOCK":
+        """After a crash: folders that no pointer names, older pointers and crashed ones go, once they are older than GRACE."""
+        fs, now, pointers = self._fs(), self.version(self._folder(project)), self._pointers(project)
+        for n, at in self._names(project).items():
+            if time.time() - at > GRACE and n.startswith("v-") and n != now:
                 fs.delete(self._path(project, n), True)
+        for k, v, age in pointers:
+            if age > GRACE and v != now:
+                fs.delete(self._path(project, f"P-{k:012d}"), False)
