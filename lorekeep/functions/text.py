@@ -72,6 +72,18 @@ def similar(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & ((a == b) | ((shared >= 2) & near))
 
 
+def spelled(a: str, b: str) -> Column:
+    """Two key columns have nearly the same letters: SequenceMatcher's ratio of at least 0.9, a being the text that was there before."""
+    @F.pandas_udf("boolean")
+    def own(x: pd.Series, y: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        of = (SequenceMatcher(None, p, q) for p, q in zip(x, y))
+        return pd.Series([m.quick_ratio() >= 0.9 and m.ratio() >= 0.9 for m in of], dtype=bool)
+
+    return own(a, b)
+
+
 def refers(text_key: Column, reference_key: Column) -> Column:
     """The reference's tokens all occur in the text, or the two are similar."""
     subset = F.size(F.array_except(tokens(reference_key), tokens(text_key))) == 0

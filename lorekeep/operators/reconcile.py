@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as t
+from lorekeep.sources.runtime import cut
 
 from . import fold
 from .document import AGENT_FIELDS, FACT_FIELDS, TASK_FIELDS
@@ -125,6 +126,7 @@ def reconcile(docs: DataFrame | None, items: DataFrame | None, candidates: DataF
     every = canonical(extraction.join(own, "project", "left_semi"), src, now)
     if items is not None:
         every = every.unionByName(items.join(own, "project", "left_semi").withColumn("is_old", F.lit(True)).select(*ITEM))
+    every = cut(every, "observed")  # read once for each kind of list
     lists = lambda *f: every.where(F.col("field").isin(*f))
     facts = placed(merge_items(lists(*FACT_FIELDS, *AGENT_FIELDS)))
     changes = technology_changes(lists("decisions").where("NOT is_old"))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as t
 from lorekeep.operators import chunk, document, extract, fold, reconcile, reduce
+from lorekeep.plans import run
 from lorekeep.sources import synth, transcripts
-from lorekeep.sources.runtime import ship
+from lorekeep.sources.runtime import cut, ship
 
 FLAGSHIP = "f5_line_status"
 QUERIES: dict = {}
@@ -75,6 +76,10 @@ rel AS (
     OR NOT EXISTS (FROM marked p WHERE p.history_id = a.history_id AND p.project = a.project AND p.hit))"""
 
 
+#: rel with a row for each technology that a message names; constant patterns, as compiling one a row is slow.
+_TECHS = ", techs_of AS (SELECT history_id, project, number, unnest(list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{LB}{k}{RB}') THEN '{v}' END" for k, v in t.TECHNOLOGIES.items()) + "], lambda x: x IS NOT NULL))) AS label FROM rel)"
+
+
 def _word(words: str) -> str:
     return f"regexp_matches(low, '{LB}({words}){RB}')"
 
@@ -172,7 +177,7 @@ def j1(spark, sf_dir):
     return _flow(spark, sf_dir)[2].select("history_id", "project", "number", "text")
 
 
-@query("f4_technologies", _M + ", " + _NAMES + _REL + ", tech AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in t.TECHNOLOGIES.items()) + f") AS v(needle, label)) SELECT history_id, project, label, min(number) AS number FROM rel JOIN tech ON regexp_matches(lower(text), '{LB}' || needle || '{RB}') GROUP BY ALL")
+@query("f4_technologies", _M + ", " + _NAMES + _REL + _TECHS + " SELECT history_id, project, label, min(number) AS number FROM techs_of GROUP BY ALL")
 def f4(spark, sf_dir):
     return extract.technologies(_flow(spark, sf_dir)[2])
 
@@ -182,13 +187,13 @@ def f5(spark, sf_dir):
     return extract.lines(_flow(spark, sf_dir)[2]).where("status IS NOT NULL").groupBy("project", "status").agg(F.count("*").alias("n"))
 
 
-@query("f7_extraction_items", _M + ", " + _NAMES + _LINE + f""", tech AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in t.TECHNOLOGIES.items())}) AS v(needle, label)), i AS (
+@query("f7_extraction_items", _M + ", " + _NAMES + _LINE + _TECHS + f""", i AS (
   SELECT history_id, project, 'implemented' AS field, number, line_no, line AS text, NULL AS status, 'MEDIUM' AS confidence, NULL AS date FROM classed WHERE status = 'completed' UNION ALL
   SELECT history_id, project, 'tasks', number, line_no, line, status, 'MEDIUM', NULL FROM classed WHERE status IS NOT NULL UNION ALL
   SELECT history_id, project, 'decisions', number, line_no, line, NULL, 'HIGH', coalesce(date, '') FROM classed WHERE is_decision UNION ALL
   SELECT history_id, project, f, number, line_no, line, NULL, 'HIGH', NULL FROM classed, (VALUES ('constraints'), ('do_not_change')) AS v(f) WHERE is_constraint UNION ALL
   SELECT history_id, project, 'open_questions', number, line_no, '{t.NEEDS_REVIEW} ' || line, NULL, 'LOW', NULL FROM classed WHERE is_question UNION ALL
-  SELECT history_id, project, 'technologies', min(number), -1, label, NULL, 'MEDIUM', NULL FROM rel JOIN tech ON regexp_matches(lower(text), '{LB}' || needle || '{RB}') GROUP BY history_id, project, label)
+  SELECT history_id, project, 'technologies', min(number), -1, label, NULL, 'MEDIUM', NULL FROM techs_of GROUP BY history_id, project, label)
 SELECT history_id, project, field, number, line_no::INT AS line_no, text, status, confidence, date FROM i""")
 def f7(spark, sf_dir):
     _, _, rel = _flow(spark, sf_dir)
@@ -415,3 +420,123 @@ def src2(spark, sf_dir):
     k, parts = F.col("history_id") % 4, F.transform("l", lambda x: x["m"])
     raw = F.when(k == 0, F.concat(F.lit('{"messages":['), F.array_join(parts, ","), F.lit("]}"))).when(k == 1, F.array_join(parts, "\n")).otherwise(F.array_join(parts, "\n\n"))
     return transcripts.detect(g.select("history_id", raw.alias("raw")))
+
+
+@query("p7_references", _PAIRS + """, refs AS (SELECT DISTINCT unnest(['SQLite', 'Flask', 'loader number', 'tests pytest', 'Docker image builds now', 'the parser later', 'checks nothing here']) AS ref), rk AS (SELECT ref, """ + _KEY.replace('{0}', 'ref') + """ AS key FROM refs), rt AS (SELECT ref, key, list_filter(list_distinct(string_split(key, ' ')), lambda x: x <> '') AS toks FROM rk),
+m AS (SELECT t.text, r.ref, t.key AS ka, r.key AS kb, len(t.toks) AS na, len(r.toks) AS nb, len(list_intersect(t.toks, r.toks)) AS s FROM tk t, rt r WHERE t.key <> '' AND r.key <> '')
+SELECT text, ref FROM m WHERE s = nb OR ka = kb OR (s >= 2 AND (s / (na + nb - s) >= 0.75 OR (s = least(na, nb) AND abs(na - nb) <= 1)))""")
+def p7(spark, sf_dir):
+    """Which texts a reference names: equal or similar keys, or all its tokens. All of these share a token, so an equi-join finds them."""
+    refs = ["SQLite", "Flask", "loader number", "tests pytest", "Docker image builds now", "the parser later", "checks nothing here"]
+    x = synth.messages(spark, sf_dir).select("text").distinct().withColumn("key", t.match_key(F.col("text")))
+    r = spark.createDataFrame([(v,) for v in refs], "ref string").withColumn("ref_key", t.match_key(F.col("ref")))
+    met = x.withColumn("tok", F.explode(t.tokens(F.col("key")))).join(F.broadcast(r.withColumn("tok", F.explode(t.tokens(F.col("ref_key"))))), "tok").select("text", "key", "ref", "ref_key").distinct()
+    return met.where(t.refers(F.col("key"), F.col("ref_key"))).select("text", "ref")
+
+
+@query("p6_spelled_pairs")
+def p6_spelled(spark, sf_dir):
+    """The last arm of the similarity rule: keys of as many tokens and nearly the same letters. Candidates share the number of tokens and a class of length (neighbouring classes differ by 11 to 9); SequenceMatcher, which SQL lacks, decides. The smaller text comes first."""
+    x = synth.messages(spark, sf_dir).select("text").distinct().withColumn("key", t.match_key(F.col("text"))).where("key <> ''").withColumn("n", F.size(t.tokens(F.col("key"))))
+    of_length = F.floor(F.log(F.length("key")) / F.log(F.lit(11 / 9))).cast("int")
+    a = x.select(F.col("text").alias("left_text"), F.col("key").alias("ka"), "n", of_length.alias("c"))
+    b = x.select(F.col("text").alias("right_text"), F.col("key").alias("kb"), "n", F.explode(F.array(of_length - 1, of_length, of_length + 1)).alias("c"))
+    near = F.least(F.length("ka"), F.length("kb")) * 11 >= F.greatest(F.length("ka"), F.length("kb")) * 9
+    return a.join(b, ["n", "c"]).where((F.col("left_text") < F.col("right_text")) & near).where(t.spelled("ka", "kb")).select("left_text", "right_text")
+
+
+@query("p19_named_projects", _M + r""", l AS (SELECT history_id AS id, string_agg(CASE number % 4 WHEN 0 THEN ' River Mapper ' WHEN 1 THEN 'grid-sync' WHEN 2 THEN '' ELSE 'Tool ' || (number % 9) END, ',' ORDER BY number) AS names FROM messages GROUP BY history_id),
+u AS (SELECT id, i - 1 AS pos, trim(p[i]) AS raw FROM (SELECT id, string_split(names, ',') AS p FROM l), generate_series(1, len(p)) AS g(i)),
+n AS (SELECT id, pos, raw, regexp_replace(lower(raw), '[\s-]+', '_', 'g') AS project FROM u WHERE raw <> '')
+SELECT id, project, pos::INT AS pos, raw AS display_name, 'HIGH' AS confidence FROM n QUALIFY row_number() OVER (PARTITION BY id, project ORDER BY pos) = 1""")
+def p19(spark, sf_dir):
+    m = synth.messages(spark, sf_dir)
+    name = F.when(F.col("number") % 4 == 0, " River Mapper ").when(F.col("number") % 4 == 1, "grid-sync").when(F.col("number") % 4 == 2, "").otherwise(F.concat(F.lit("Tool "), (F.col("number") % 9).cast("string")))
+    g = m.groupBy(F.col("history_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("number", name.alias("n")))).alias("l"))
+    return reduce.names_from_list(g.select("id", F.array_join(F.transform("l", lambda x: x["n"]), ",").alias("names")))
+
+
+@query("a12_tally", "SELECT CASE WHEN event_type = 'error' THEN 'failed' ELSE 'stored' END AS status, count(*) AS n FROM events GROUP BY ALL")
+def a12(spark, sf_dir):
+    return reduce.tally(read(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", "failed").otherwise("stored").alias("status")))
+
+
+@query("src8_nested_json", "SELECT conv_id AS history_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS number, trim(text) AS text, role, CASE conv_id % 5 WHEN 1 THEN '2024-01-01' WHEN 4 THEN strftime(make_timestamp((1700000000 + turn * 60)::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') END AS date FROM conversations WHERE trim(text) <> ''")
+def src8(spark, sf_dir):
+    """Histories in five shapes: lists in lists, an empty list before the one that counts, authors, senders with parts, a tree with times."""
+    c = read(spark, sf_dir, "conversations").withColumn("k", F.col("conv_id") % 5)
+    text, role = F.col("text"), F.col("role")
+    parts = F.struct(F.array(F.lit(""), text).alias("parts"))
+    one = F.when(F.col("k") == 0, F.to_json(F.struct("role", text.alias("content")))).when(F.col("k") == 1, F.to_json(F.struct("role", "text", F.lit(" 2024-01-01 ").alias("date")))).when(F.col("k") == 2, F.to_json(F.struct(F.struct("role").alias("author"), parts.alias("content"))))
+    one = one.when(F.col("k") == 3, F.to_json(F.struct(role.alias("sender"), F.array(text).alias("parts")))).otherwise(
+        F.concat(F.lit('"n'), F.col("turn").cast("string"), F.lit('":'), F.to_json(F.struct(F.when(F.col("turn") > 0, F.concat(F.lit("n"), (F.col("turn") - 1).cast("string"))).alias("parent"), F.struct(F.struct("role").alias("author"), "text", (1_700_000_000 + F.col("turn") * 60).alias("create_time")).alias("message")))))
+    g = c.withColumn("m", one).groupBy(F.col("conv_id").alias("history_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "m"))).alias("l"), F.max("turn").alias("top"))
+    k, inner = F.col("history_id") % 5, F.array_join(F.transform("l", lambda x: x["m"]), ",")
+    wrap = lambda a, b: F.concat(F.lit(a), inner, F.lit(b))
+    raw = F.when(k == 0, wrap("[[[", "]],[]]")).when(k == 1, wrap('{"messages":[],"items":[', "]}")).when(k == 2, wrap('{"data":{"conversation":[', ']},"items":[]}')).when(k == 3, wrap('[{"chat_messages":[', "]}]"))
+    raw = raw.otherwise(F.concat(F.lit('{"current_node":"n'), F.col("top").cast("string"), F.lit('","mapping":{'), inner, F.lit("}}")))
+    return transcripts.structured(g.select("history_id", raw.alias("raw")))
+
+
+_ANSWERS = """answers AS (SELECT event_id AS id, event_id % 5 AS k, concat('{"summary":" sum ', event_id, ' ","technologies":["tool ', event_id % 7, ' ",{"title":"made ', event_id % 3, '","confidence":"', ['low', 'HIGH', 'sure'][event_id % 3 + 1], '","source_blocks":[', event_id % 4, ',"2",-1,true,2],"status":"', ['active', 'odd'][event_id % 2 + 1], '"},5,""],"decisions":["plain",{"text":"d","status":"superseded","reason":"r"}],"tasks":["no",{"title":" do ","status":"', ['BUG', 'other'][event_id % 2 + 1], '"}],"agent_instructions":{"rules":["be brief"]}}') AS j FROM events)"""
+
+
+@query("p16_sanitised_answers", "WITH " + _ANSWERS + """
+SELECT id, 'technologies' AS field, 0::BIGINT AS pos, 'tool ' || id % 7 AS text, NULL AS status, NULL AS confidence, '' AS blocks, NULL AS reason FROM answers UNION ALL
+SELECT id, 'technologies', 1, 'made ' || id % 3, CASE WHEN id % 2 = 0 THEN 'active' END, ['LOW', 'HIGH', 'MEDIUM'][id % 3 + 1], CASE id % 4 WHEN 0 THEN '2' WHEN 2 THEN '2' ELSE (id % 4) || ',2' END, NULL FROM answers UNION ALL
+SELECT id, 'decisions', 0, 'plain', NULL, 'MEDIUM', '', '' FROM answers UNION ALL SELECT id, 'decisions', 1, 'd', NULL, 'MEDIUM', '', 'r' FROM answers UNION ALL
+SELECT id, 'tasks', 1, 'do', CASE WHEN id % 2 = 0 THEN 'bug' ELSE 'todo' END, 'MEDIUM', '', NULL FROM answers UNION ALL SELECT id, 'rules', 0, 'be brief', NULL, NULL, '', NULL FROM answers""")
+def p16(spark, sf_dir):
+    """A model's answers, every second in a code fence, made into items."""
+    e = read(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 2).alias("even"))
+    n = F.col("event_id")
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i + 1).cast("int"))
+    j = F.concat(F.lit('{"summary":" sum '), n.cast("string"), F.lit(' ","technologies":["tool '), (n % 7).cast("string"), F.lit(' ",{"title":"made '), (n % 3).cast("string"), F.lit('","confidence":"'), pick(["low", "HIGH", "sure"], n % 3), F.lit('","source_blocks":['), (n % 4).cast("string"),
+                 F.lit(',"2",-1,true,2],"status":"'), pick(["active", "odd"], n % 2), F.lit('"},5,""],"decisions":["plain",{"text":"d","status":"superseded","reason":"r"}],"tasks":["no",{"title":" do ","status":"'), pick(["BUG", "other"], n % 2), F.lit('"}],"agent_instructions":{"rules":["be brief"]}}'))
+    _, items = document.sanitise(e.select(n.alias("id"), F.when(F.col("even") == 0, F.concat(F.lit("```json\n"), j, F.lit("\n```"))).otherwise(j).alias("content")))
+    return items.select("id", "field", "pos", "text", "status", "confidence", F.array_join(F.col("blocks").cast("array<string>"), ",").alias("blocks"), "reason")
+
+
+@query("g3_migrated_items", """SELECT 'p' || event_id AS project, 'technologies' AS field, 0::BIGINT AS pos, substr(sha256('technologies' || chr(0) || 'tool ' || event_id % 7), 1, 20) AS id, 'Tool ' || event_id % 7 AS text, 'active' AS status, 'MEDIUM' AS confidence FROM events UNION ALL
+SELECT 'p' || event_id, 'known_bugs', 0, substr(sha256('tasks' || chr(0) || 'bug ' || event_id % 5), 1, 20), 'bug ' || event_id % 5, CASE WHEN event_id % 3 = 0 THEN 'todo' ELSE 'bug' END, CASE WHEN event_id % 2 = 0 THEN 'LOW' ELSE 'MEDIUM' END FROM events UNION ALL
+SELECT 'p' || event_id, 'rules', 0, substr(sha256('agent_instructions.rules' || chr(0) || 'brief'), 1, 20), 'brief', 'active', 'MEDIUM' FROM events""")
+def g3(spark, sf_dir):
+    """Stored documents of versions 1 and 2 with items of both old forms, read as version 3."""
+    n = F.col("event_id")
+    doc = F.concat(F.lit('{"schema_version":'), (n % 2 + 1).cast("string"), F.lit(',"project":"p'), n.cast("string"), F.lit('","technologies":["Tool '), (n % 7).cast("string"), F.lit('"],"known_bugs":[{"text":"bug '), (n % 5).cast("string"), F.lit('","confidence":"'), F.when(n % 2 == 0, "low").otherwise("odd"),
+                   F.lit('","status":"'), F.when(n % 3 == 0, "todo").otherwise("none"), F.lit('"}],"agent_instructions":{"rules":[" brief "]}}'))
+    items = document.read_documents(read(spark, sf_dir, "events").select(F.concat(F.lit("p"), n.cast("string")).alias("project"), doc.alias("content")))[1]
+    return items.select("project", "field", "pos", "id", "text", "status", "confidence")
+
+
+_X7 = _M + ", " + _NAMES + _LINE + _TECHS + rf""", batch AS (SELECT history_id, project, number <= 20 AS first_run, number, line, line_no, low, status, is_decision, is_constraint, is_question FROM classed),
+named_techs AS (SELECT history_id, project, lower(label) AS key FROM techs_of),
+changed AS (SELECT history_id, project, lower(r.b) AS key FROM (SELECT history_id, project, regexp_extract(line, '(?i)(?:с|from)\s+([\p{{L}}\p{{N}}_.+#-]+)\s+(?:на|to)\s+([\p{{L}}\p{{N}}_.+#-]+)', ['a', 'b']) AS r FROM batch WHERE is_decision) WHERE r.a <> '' AND r.b <> ''),
+techs AS (SELECT history_id, project, count(DISTINCT key) AS n FROM (FROM named_techs UNION ALL FROM changed) GROUP BY ALL),
+keyed AS (SELECT history_id, project, {_KEY.replace('{0}', 'line')} AS key, status = 'completed' AS done, is_constraint, is_question FROM batch),
+counts AS (SELECT history_id, project, count(DISTINCT key) FILTER (done) AS n_implemented, count(DISTINCT key) FILTER (is_constraint) AS n_constraints, count(DISTINCT key) FILTER (is_question) AS n_questions FROM keyed GROUP BY ALL),
+runs AS (SELECT history_id, project, min(number) <= 20 AS a, max(number) > 20 AS b FROM rel GROUP BY ALL)
+SELECT r.history_id || '.' || r.project AS project, b.display_name, CASE WHEN r.a THEN 'first summary' ELSE '' END AS summary, CASE WHEN r.b THEN 'second purpose' ELSE '' END AS purpose, CASE WHEN r.a THEN '2024-01-01' ELSE '2024-02-02' END AS created_at, CASE WHEN r.b THEN '2024-02-02' ELSE '2024-01-01' END AS last_updated,
+  CASE WHEN r.a AND r.b THEN 'create,update' ELSE 'create' END AS modes, CASE WHEN r.a AND r.b THEN 'one,two' WHEN r.a THEN 'one' ELSE 'two' END AS aliases, coalesce(n_implemented, 0)::BIGINT AS n_implemented, coalesce(n_constraints, 0)::BIGINT AS n_constraints, coalesce(n_questions, 0)::BIGINT AS n_questions, coalesce(t.n, 0)::BIGINT AS n_technologies
+FROM runs r JOIN best b USING (history_id, project) LEFT JOIN counts c USING (history_id, project) LEFT JOIN techs t USING (history_id, project)"""
+
+
+@query("x7_documents", _X7)
+def x7(spark, sf_dir):
+    """Two runs, each over its part of every history's relevant messages: the second finds what the first made."""
+    _, p, rel = _flow(spark, sf_dir)
+    key = F.concat_ws(".", F.col("history_id").cast("string"), "project")
+    rel = cut(rel, "relevant")
+    found = cut(run.long_items(extract.items(extract.lines(rel), extract.technologies(rel)).withColumn("project", key)), "found")
+    names = p.withColumn("project", key).select("project", "display_name")
+    docs = items = None
+    for part, alias, summary, purpose, day in (((F.lit(1), F.lit(20)), "one", "first summary", f"{t.NEEDS_REVIEW} not sure", "2024-01-01"), ((F.lit(21), F.lit(1 << 30)), "two", f"{t.NEEDS_REVIEW} unclear", "second purpose", "2024-02-02")):
+        there = rel.withColumn("project", key).where(F.col("number").between(*part)).select("project").distinct()
+        c = names.join(there, "project").withColumn("aliases", F.array(F.lit(alias)))
+        scalars = there.select("project", F.lit(summary).alias("summary"), F.lit(purpose).alias("purpose"))
+        new = reconcile.reconcile(docs, items, c, scalars, found.where(F.element_at("blocks", 1).between(*part)), alias, day)
+        new = [cut(x, "x7") for x in new]
+        docs, items = new if docs is None else [n.unionByName(o.join(c.select("project"), "project", "left_anti")) for n, o in zip(new, (docs, items))]
+    n = items.groupBy("project").agg(*[F.count(F.when(F.col("field") == f, 1)).alias(f"n_{a}") for f, a in (("implemented", "implemented"), ("constraints", "constraints"), ("open_questions", "questions"), ("technologies", "technologies"))])
+    d = docs.join(n, "project", "left").na.fill(0)
+    return d.select("project", "display_name", "summary", F.when(F.col("purpose").startswith(t.NEEDS_REVIEW), "").otherwise(F.col("purpose")).alias("purpose"), "created_at", "last_updated", F.array_join(F.transform("update_history", lambda e: e["mode"]), ",").alias("modes"), F.array_join("aliases", ",").alias("aliases"), *[c for c in n.columns if c != "project"])

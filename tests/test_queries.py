@@ -15,6 +15,17 @@ def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_spelled_pairs(spark):
+    """Brute force over all pairs of distinct texts."""
+    from lorekeep.operators.fold import Probe
+    from lorekeep.sources import synth
+
+    texts = sorted(r[0] for r in synth.messages(spark, SF).select("text").distinct().collect())
+    probes = [Probe(x) for x in texts]
+    want = {(texts[i], texts[j]) for j in range(len(texts)) for i in range(j) if probes[i].spelled(probes[j])}
+    assert {tuple(r) for r in QUERIES["p6_spelled_pairs"](spark, SF).collect()} == want and want
+
+
 def test_entry():
     import __spark_entry__ as e
 
