@@ -41,10 +41,10 @@ from . import common
 LEG = 32
 LONG_PIECE = 192
 STEP, OVERLAP = 128, 64
-KNOWN_PIECES = 600_000
+KNOWN_PIECES = 300_000
 UNIT = 1 << 20
 LOT, LOT_BYTES = 20_000, 1 << 16
-SLICE = 1 << 18
+SLICE = 1 << 16
 SHIFT = 1 << 36
 
 #: One leg: rows are (id, tok, nxt, round) with id = piece * SHIFT + position, positions of a piece without gaps, nxt the token after (-1: none).
@@ -278,6 +278,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     """(id, ids array<int>) of every row; null and empty texts give an empty array."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.begin("bpe")
         c = codec(ranks_path, pattern)
         for b in batches:
             texts = b["text"].tolist()
@@ -298,6 +299,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     """(id, bytes binary) of every row of ids; null and empty arrays give no bytes."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.begin("bpe")
         c = codec(ranks_path, pattern)
         for b in batches:
             own = [np.asarray(x, np.int64) if x is not None else np.zeros(0, np.int64) for x in b["ids"]]
@@ -312,6 +314,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     """(id, n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids, in one pass that ships only digests back."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.begin("bpe")
         c = codec(ranks_path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:

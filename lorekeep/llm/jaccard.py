@@ -98,6 +98,7 @@ def signatures(text: Column, n: int) -> Column:
         common.begin("jaccard")
         for s in texts:
             yield pd.DataFrame([signature(t, n) for t in s], columns=["whole", "fp", "keys", "sketch"])
+        common.give_back()
 
     return own(text)
 
@@ -164,6 +165,7 @@ def near_links(nodes: DataFrame) -> DataFrame:
                     yield pd.concat([found, pd.DataFrame({"a": [last], "b": pd.array([None], "Int64"), "d": [count]})])
         if rest is not None:
             yield run(rest)[0]
+        common.give_back()
 
     return _at_keys(nodes).drop("band").repartition("key").sortWithinPartitions("key", "node").mapInPandas(compare, "a long, b long, d long")
 
@@ -223,6 +225,7 @@ def meeting(nodes: DataFrame, hot_keys: DataFrame | None) -> DataFrame:
                     met[hit] = True
                     met[x] |= len(hit) > 0
             yield b[met]
+        common.give_back()
 
     rows = _in_blocks(_at_keys(nodes, "part"), hot_keys)
     return _together(rows.select("key", "pair", "band", "node", "part", *_BITS)).mapInPandas(mark, "key long, pair long, band int, node long, part long, " + ", ".join(f"{c} long" for c in _BITS))
@@ -280,6 +283,7 @@ def links(met: DataFrame, sets: DataFrame) -> DataFrame:
             if len(low) > simhash.LINKED_NODES:
                 low.clear()
             yield pd.DataFrame(out, columns=["a", "b", "part_a", "part_b"]).astype("int64")
+        common.give_back()
 
     return common.small_batches(_together(met.join(sets, "node")), 512).mapInPandas(join, "a long, b long, part_a long, part_b long")
 
@@ -304,6 +308,7 @@ def checked(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
                     last, of_last = x, shingles(x, n)
                 out.append(similar(of_last, shingles(y, n)))
             yield pd.Series(out, dtype=bool)
+        common.give_back()
 
     some = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts)
     left, right = some.select(F.col("node").alias("a"), F.col("text").alias("_left")), some.select(F.col("node").alias("b"), F.col("text").alias("_right"))

@@ -201,6 +201,7 @@ def links(nodes: DataFrame, words: int, threshold: int) -> DataFrame:
         if held:
             run(pd.concat(held, ignore_index=True))
         yield stars()
+        common.give_back()
 
     spread = nodes.select("node", *[F.element_at("fp", i + 1).alias(c) for i, c in enumerate(own)], F.explode(numbered_parts("fp", words)).alias("part"))
     spread = spread.select("node", *own, F.explode(stops("part")).alias("anchor"))

@@ -179,6 +179,7 @@ def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                             out.append((x["g"], right, _digest(near), x["n"], row, p - h, p, raw[p - h : p - l + length]))
             d = pd.DataFrame(out, columns=["g", "right", "near", "n", "row", "first", "pos", "bytes"])
             yield d.assign(near=_signed(d["near"].to_numpy(np.uint64) if len(d) else []))
+        common.give_back()
 
     halves = common.cut(common.small_batches(pair).mapInPandas(sides, f"g long, right int, near long, n long, row {kind}, first int, pos int, bytes binary"), "halves")
     size = common.cut(halves.groupBy("g", "right", "near").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
@@ -222,6 +223,7 @@ def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 n = len(held[0])
         if held:
             yield run(pd.concat(held, ignore_index=True))
+        common.give_back()
 
     key = ["g", "right", "near"]
     few = kept.where(F.col("m") <= GROUP).repartition(*key).sortWithinPartitions(*key).mapInPandas(inside, f"row {kind}, first int, last int")
