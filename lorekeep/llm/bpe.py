@@ -44,7 +44,7 @@ STEP, OVERLAP = 128, 64
 KNOWN_PIECES = 300_000
 UNIT = 1 << 20
 LOT, LOT_BYTES = 20_000, 1 << 16
-SLICE = 1 << 16
+SLICE = 1 << 18
 SHIFT = 1 << 36
 
 #: One leg: rows are (id, tok, nxt, round) with id = piece * SHIFT + position, positions of a piece without gaps, nxt the token after (-1: none).
@@ -258,7 +258,8 @@ class Codec:
         for lo in range(0, len(ids), SLICE):
             hi = min(len(ids), lo + SLICE)
             self.db.register("tokens", pa.table({"doc": doc[lo:hi].astype(np.int32), "pos": np.arange(hi - lo, dtype=np.int32), "tok": ids[lo:hi].astype(np.int32)}))
-            got = self.db.execute("SELECT doc, string_agg(piece, '' ORDER BY pos) AS bytes FROM tokens JOIN vocabulary USING (tok) GROUP BY doc").fetchall()
+            # the database has one thread, which aggregates rows as they come: sorting all once replaces a sort in every group
+            got = self.db.execute("SELECT doc, string_agg(piece, '') AS bytes FROM (SELECT doc, piece FROM tokens JOIN vocabulary USING (tok) ORDER BY pos) GROUP BY doc").fetchall()
             self.db.unregister("tokens")
             for d, hexed in got:
                 out[d] += bytes.fromhex(hexed)
