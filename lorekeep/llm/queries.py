@@ -37,16 +37,9 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls and results only, as its SQL has them; op6_whole_chat has every message."""
-    calls, results = toolcalls.calls_and_results(table(spark, sf_dir, "conversations"))
-    linked = toolcalls.link(calls, results, toolcalls.REPLY)
-    return linked.select(F.col("conv").alias("conv_id"), "turn", F.col("id").alias("call_id"), "level", "linked", "valid", F.sha2("line", 256).alias("line_sha256"))
-
-
-def op6_whole_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6_tool_calls with a line for system and other messages too, and for rows with a null conversation or turn."""
+    """A line for every message: calls, results that no call takes, system and other roles; rows with a null conversation or turn have no identifier."""
     rows = table(spark, sf_dir, "conversations")
-    calls, results = toolcalls.calls_and_results(rows, unkeyed=True)
+    calls, results = toolcalls.calls_and_results(rows)
     linked = toolcalls.link(calls, results, toolcalls.REPLY, toolcalls.other_messages(rows))
     return linked.select(F.col("conv").alias("conv_id"), "turn", F.col("id").alias("call_id"), "level", "linked", "valid", F.sha2("line", 256).alias("line_sha256"))
 
@@ -74,28 +67,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_bpe_round_trip, op2_language_id, op3_token_counts, op4_nearest_neighbours, op5_source_mixing,
-    op6_tool_calls, op6_whole_chat, op7_code_search, op8_toxicity, op9_simhash, op10_suffix_dedup,
+    op6_tool_calls, op7_code_search, op8_toxicity, op9_simhash, op10_suffix_dedup,
 )}
 
 SQL = {
     "op6_tool_calls": r"""
-WITH u AS (SELECT a.conv_id, a.turn, a.text, EXISTS (FROM conversations b WHERE b.role = 'user' AND b.conv_id = a.conv_id AND b.turn = a.turn - 2) AS before
-           FROM conversations a WHERE a.role = 'user' AND a.conv_id IS NOT NULL AND a.turn IS NOT NULL),
-calls AS (SELECT conv_id, turn, 'call_' || conv_id || '_' || turn AS id, before,
-            '{' || CASE WHEN before THEN '"after":"call_' || conv_id || '_' || (turn - 2) || '",' ELSE '' END
-                || CASE WHEN text IS NOT NULL THEN '"text":' || to_json(text) || ',' ELSE '' END || '"turn":' || turn || '}' AS args, text IS NOT NULL AS valid FROM u),
+WITH u AS (SELECT a.conv_id, a.turn, a.text, EXISTS (FROM conversations b WHERE b.role = 'user' AND b.conv_id = a.conv_id AND b.turn = a.turn - 2) AS before FROM conversations a WHERE a.role = 'user'),
+calls AS (SELECT conv_id, turn, 'call_' || conv_id || '_' || turn AS id, text IS NOT NULL AND turn IS NOT NULL AS valid,
+            '{' || concat_ws(',', CASE WHEN before THEN '"after":"call_' || conv_id || '_' || (turn - 2) || '"' END, '"text":' || to_json(text), '"turn":' || turn) || '}' AS args FROM u),
 r AS (SELECT conv_id, turn, 'call_' || conv_id || '_' || (turn - 1) AS id, text,
-        row_number() OVER (PARTITION BY conv_id, turn ORDER BY text NULLS FIRST) AS nth
-      FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL),
-chain AS (SELECT conv_id, turn, id, row_number() OVER (PARTITION BY conv_id, turn % 2, turn // 2 - n ORDER BY turn) - 1 AS level FROM (
-            SELECT conv_id, turn, id, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS n FROM (SELECT DISTINCT conv_id, turn, id FROM calls)))
+        CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id, turn ORDER BY text NULLS FIRST) END AS nth
+      FROM conversations WHERE role = 'assistant'),
+chain AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2, turn // 2 - n ORDER BY turn) - 1 AS level FROM (
+            SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS n FROM (SELECT DISTINCT conv_id, turn FROM calls WHERE id IS NOT NULL)))
 SELECT c.conv_id, c.turn, c.id AS call_id, l.level::INTEGER AS level, r.id IS NOT NULL AS linked, c.valid,
-  sha256('{"arguments":' || to_json(c.args) || CASE WHEN r.text IS NOT NULL THEN ',"content":' || to_json(r.text) ELSE '' END || ',"id":"' || c.id || '","name":"reply","role":"assistant"}') AS line_sha256
-FROM calls c JOIN chain l ON l.conv_id = c.conv_id AND l.turn = c.turn LEFT JOIN r ON r.conv_id = c.conv_id AND r.id = c.id AND r.nth = 1
+  sha256('{' || concat_ws(',', '"arguments":' || to_json(c.args), '"content":' || to_json(r.text), '"id":"' || c.id || '"', '"name":"reply","role":"assistant"') || '}') AS line_sha256
+FROM calls c LEFT JOIN chain l ON l.conv_id = c.conv_id AND l.turn = c.turn LEFT JOIN r ON r.conv_id = c.conv_id AND r.id = c.id AND r.nth = 1
 UNION ALL
-SELECT r.conv_id, r.turn, r.id, NULL, false, false,
-  sha256('{' || CASE WHEN text IS NOT NULL THEN '"content":' || to_json(text) || ',' ELSE '' END || '"id":"' || r.id || '","role":"tool"}')
+SELECT r.conv_id, r.turn, r.id, NULL, false, false, sha256('{' || concat_ws(',', '"content":' || to_json(text), '"id":"' || r.id || '"', '"role":"tool"') || '}')
 FROM r WHERE nth > 1 OR NOT EXISTS (FROM calls c WHERE c.conv_id = r.conv_id AND c.id = r.id)
+UNION ALL
+SELECT conv_id, turn, NULL, NULL, false, false, sha256('{' || concat_ws(',', '"content":' || to_json(text), '"role":' || to_json(role)) || '}')
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """,
     "op7_code_search": r"""
 WITH codes AS (SELECT vec_id, list_transform(embedding, lambda c: CASE WHEN c > 0 THEN '1' ELSE '0' END) AS bits FROM embeddings
@@ -105,6 +98,4 @@ d AS (SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code))::BIG
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank, vec_id, distance FROM d
 QUALIFY rank <= 10
 """,
-    "op5_source_mixing": None,
 }
-SQL = {k: v for k, v in SQL.items() if v}

@@ -114,15 +114,13 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
 REPLY = {"reply": {"turn": ("integer", True), "text": ("string", True), "after": ("string", False)}}
 
 
-def calls_and_results(conversations: DataFrame, unkeyed: bool = False) -> tuple[DataFrame, DataFrame]:
+def calls_and_results(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The conversations table as calls and results: a user's turn calls the tool `reply`, an assistant's turn is the result of the turn before it.
 
     A call needs the result of the user's turn two before it, if the conversation has one. Rows with a null
-    conversation or turn are left out or, unkeyed, kept without an identifier.
+    conversation or turn have no identifier.
     """
     c = conversations.select("conv_id", "turn", "role", "text")
-    if not unkeyed:
-        c = c.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     ident = lambda turn: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
     users = c.where("role = 'user'")
     earlier = users.select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("_before")).distinct()

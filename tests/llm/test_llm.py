@@ -262,7 +262,8 @@ def test_op6_whole_chat(spark, tmp_path):
         (None, 1, None, None, False, True, sha(call(1, "e"))), (2, None, None, None, False, False, sha(call(None, "f"))),
         (None, 2, None, None, False, False, sha('{"content":"g","role":"tool"}')), (3, None, None, None, False, False, sha('{"content":"h","role":"tool"}')),
     ]
-    assert bag(map(tuple, queries.op6_whole_chat(spark, str(tmp_path)).collect())) == bag(want)
+    assert bag(map(tuple, queries.op6_tool_calls(spark, str(tmp_path)).collect())) == bag(want)
+    same(spark, "op6", queries.op6_tool_calls, queries.SQL["op6_tool_calls"].replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'"), tmp_path)
 
 
 def test_op6_levels(spark):
