@@ -1,13 +1,18 @@
 """SimHash near-duplicates by anchor-point covering.
 
 A document's fingerprint has a bit for each bit of its shingles' hashes: 1 if set in over half of them. Fingerprints
-are linked at `threshold` or fewer differing bits. They are cut into parts of 21 or 22 bits (of a longer fingerprint:
-as many parts of 21 as fit). Two fingerprints that differ in at most 2 * parts - 1 bits differ in at most t = 1 bit of
-some part. The anchors of a part are the code words of a covering code: the perfect Hamming [15, 11] code on the
-lowest 15 bits, of covering radius R = 1, times all values of the other bits. A fingerprint lives at the one anchor
-within R of it and is replicated to all anchors within R + t: any fingerprint within t of it lives at one of these. So
-fingerprints are compared only where one visits the anchor at which the other lives. This is complete while
-threshold < 2 * parts (4 < 6 for 64 bits); at higher thresholds it is a search with many chances, see the README.
+are linked at `threshold` or fewer differing bits. They are cut into p parts, and every j of these make a key. Two
+fingerprints within the threshold differ in at most t = 1 bit of some key: with j = 1 and p over threshold / 2, as two
+bits in each part would be too many; with j > 1 and p = threshold + j - 1, as a key of the j parts that differ least
+could have two bits only if all other parts had one each, threshold + 1 in all. So every link is found, whatever j.
+The anchors of a key are the code words of a covering code: the perfect Hamming [15, 11] code on the lowest 15 bits,
+of covering radius R = 1, times all values of the other bits. A fingerprint lives at the one anchor within R of it and
+is replicated to all anchors within R + t: any fingerprint within t of it lives at one of these. So fingerprints are
+compared only where one visits the anchor at which the other lives.
+
+At threshold 4, j = 1 gives 3 keys of 21 bits and 42 rows a fingerprint, j = 2 gives 10 of 24 bits, j = 3 20 of 30.
+j is the least for which not over LIVING fingerprints live at an anchor in the mean, so anchors grow with the data and
+an anchor does not.
 
 Documents of equal fingerprint are one node from the start. At an anchor, links are found by breadth-first growth:
 each fingerprint is compared with those of the anchor that no group has yet, so a group of n fingerprints makes n - 1
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -31,7 +37,10 @@ from . import common
 from .components import components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-PART = 21
+#: Fingerprints that live at an anchor, in the mean; more make keys longer.
+LIVING = 4096
+#: Bits of a key: the code's at least, and what a long has room for beside the key's number.
+SHORTEST, LONGEST = 15, 46
 #: A task joins the links of its anchors and gives each linked node's to the least of its group; it holds about so many nodes.
 LINKED_NODES = 200_000
 
@@ -90,9 +99,30 @@ def fingerprints(text: Column, n: int = 4, seeds: tuple[int, ...] = (42,)) -> Co
     return own(text)
 
 
-def parts(words: int) -> list[tuple[int, int]]:
-    """(first bit, width) of the parts of a fingerprint of `words` times 64 bits, counted through its longs; no part crosses a long."""
-    return [(64 * w + b, c) for w in range(words) for b, c in ((0, 21), (21, 21), (42, 22))]
+def keys(words: int, threshold: int, j: int) -> list[list[tuple[int, int, int]]]:
+    """The keys of a fingerprint of `words` longs, each a list of (long, first bit, width); [] if these would be too short or too long."""
+    p, bits = threshold // 2 + 1 if j == 1 else threshold + j - 1, 64 * words
+    edges = [bits * i // p for i in range(p + 1)]
+    shortest, longest = (f(b - a for a, b in zip(edges, edges[1:])) * j for f in (min, max))
+    if shortest < SHORTEST or longest > LONGEST:
+        return []
+    pieces = [[(w, max(a - 64 * w, 0), min(b, 64 * w + 64) - max(a, 64 * w)) for w in range(a // 64, (b - 1) // 64 + 1)] for a, b in zip(edges, edges[1:])]
+    return [sum(c, []) for c in combinations(pieces, j)]
+
+
+def keys_for(n: int, words: int, threshold: int) -> list[list[tuple[int, int, int]]]:
+    """Those of the least j at which not over LIVING of n fingerprints live at an anchor in the mean, or of the largest j there is."""
+    found: list[list[tuple[int, int, int]]] = []
+    for j in range(1, 64 * words):
+        if more := keys(words, threshold, j):
+            found = more
+            if n <= LIVING << min(sum(w for _, _, w in k) for k in found) - 4:
+                break
+        elif found:
+            break
+    if not found:
+        raise ValueError(f"no keys find all links at {threshold} of {64 * words} bits")
+    return found
 
 
 def _home(x: Column) -> Column:
@@ -104,45 +134,47 @@ def _home(x: Column) -> Column:
     return F.when(syndrome == 0, x).otherwise(x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (syndrome - 1).cast("int"))))
 
 
-def numbered_parts(fp: str, words: int) -> Column:
-    """array<struct<k, x, width>>: the parts of a fingerprint, numbered."""
-    def of_part(k: int, bit: int, width: int) -> Column:
-        x = F.shiftrightunsigned(F.element_at(F.col(fp), bit // 64 + 1), bit % 64).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        return F.struct(F.lit(k).cast("long").alias("k"), x.alias("x"), F.lit(width).alias("width"))
+def numbered_keys(fp: str, keys: list[list[tuple[int, int, int]]]) -> Column:
+    """array<struct<k, x, width>>: the keys of a fingerprint, numbered."""
+    def of_key(k: int, pieces: list[tuple[int, int, int]]) -> Column:
+        x, at = F.lit(0).cast("long"), 0
+        for word, bit, width in pieces:
+            own = F.shiftrightunsigned(F.element_at(F.col(fp), word + 1), bit).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+            x, at = x.bitwiseOR(F.shiftleft(own, at)), at + width
+        return F.struct(F.lit(k).cast("long").alias("k"), x.alias("x"), F.lit(at).alias("width"))
 
-    return F.array(*[of_part(k, bit, width) for k, (bit, width) in enumerate(parts(words))])
+    return F.array(*[of_key(k, pieces) for k, pieces in enumerate(keys)])
 
 
-def stops(part: str) -> Column:
-    """array<long> of 2 * anchor + lives: the anchor at which a part of a fingerprint lives (lives = 1) and those it visits."""
-    k, x, width = (F.col(f"{part}.{c}") for c in ("k", "x", "width"))
-    flips = F.slice(F.array(*[F.lit(0 if b < 0 else 1 << b).cast("long") for b in range(-1, PART + 1)]), F.lit(1), width + 1)
+def stops(key: str, longest: int) -> Column:
+    """array<long> of 2 * anchor + lives: the anchor at which a key of a fingerprint lives (lives = 1) and those it visits."""
+    k, x, width = (F.col(f"{key}.{c}") for c in ("k", "x", "width"))
+    flips = F.slice(F.array(*[F.lit(0 if b < 0 else 1 << b).cast("long") for b in range(-1, longest)]), F.lit(1), width + 1)
     # the homes of all values within t = 1: just the anchors within R + t, for a perfect code
     visits = F.array_distinct(F.transform(flips, lambda m: _home(x.bitwiseXOR(m))))
-    return F.transform(visits, lambda a: k * (1 << 32) + a * 2 + F.when(a == _home(x), 1).otherwise(0))
+    return F.transform(visits, lambda a: k * (1 << LONGEST + 2) + a * 2 + F.when(a == _home(x), 1).otherwise(0))
 
 
 def _grow(fp: np.ndarray, lives: np.ndarray, node: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Links that span the groups of one anchor: breadth first, each member compared with the ungrouped of the other kind (or both living)."""
+    """Links that span the groups of one anchor, breadth first from those that live there: these are compared with all ungrouped, visitors with those that live there."""
     out = []
-    left = np.arange(len(fp))
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
+    hosts, guests = np.flatnonzero(lives), np.flatnonzero(~lives)
+    while len(hosts):
+        queue, hosts = [hosts[0]], hosts[1:]
+        while queue and (len(hosts) or len(guests)):
             x = queue.pop()
-            near = np.bitwise_count(fp[left] ^ fp[x]).sum(axis=1) <= threshold
-            if not lives[x]:
-                near &= lives[left]
-            if near.any():
-                hit = left[near]
-                out += [(int(node[x]), int(node[y])) for y in hit]
-                queue += hit.tolist()
-                left = left[~near]
+            near = np.bitwise_count(fp[hosts] ^ fp[x]).sum(axis=1) <= threshold
+            met, hosts = hosts[near], hosts[~near]
+            if lives[x]:
+                near = np.bitwise_count(fp[guests] ^ fp[x]).sum(axis=1) <= threshold
+                met, guests = np.concatenate([met, guests[near]]), guests[~near]
+            out += [(int(node[x]), int(node[y])) for y in met]
+            queue += met.tolist()
     return out
 
 
 def links(nodes: DataFrame, words: int, threshold: int) -> DataFrame:
-    """nodes: (node, fp), distinct fingerprints. (a, b): links that span every group of fingerprints within the threshold."""
+    """nodes: (node, fp), distinct fingerprints, written. (a, b): links that span every group of fingerprints within the threshold."""
 
     own = [f"f{i}" for i in range(words)]
 
@@ -203,8 +235,9 @@ def links(nodes: DataFrame, words: int, threshold: int) -> DataFrame:
         yield stars()
         common.give_back()
 
-    spread = nodes.select("node", *[F.element_at("fp", i + 1).alias(c) for i, c in enumerate(own)], F.explode(numbered_parts("fp", words)).alias("part"))
-    spread = spread.select("node", *own, F.explode(stops("part")).alias("anchor"))
+    found = keys_for(nodes.count(), words, threshold)
+    spread = nodes.select("node", *[F.element_at("fp", i + 1).alias(c) for i, c in enumerate(own)], F.explode(numbered_keys("fp", found)).alias("key"))
+    spread = spread.select("node", *own, F.explode(stops("key", max(sum(w for _, _, w in k) for k in found))).alias("anchor"))
     return spread.repartition(F.shiftright("anchor", 1)).sortWithinPartitions("anchor", "node").mapInPandas(compare, "a long, b long")
 
 

@@ -375,7 +375,23 @@ def test_op9_odd(spark, odd):
     assert got[2]["fingerprint"] == "0" * 16 and got[3]["component_id"] == 2 and got[4]["component_id"] == 1 and len(got) == 9
 
 
-def test_op9_dense_and_chained(spark):
+def test_op9_keys():
+    """Of fingerprints within the threshold, some key differs in at most one bit; keys grow with the number of fingerprints."""
+    rng = np.random.default_rng(9)
+    for threshold, words in ((4, 1), (3, 1), (6, 2)):
+        for j in range(1, 6):
+            found = simhash.keys(words, threshold, j)
+            for _ in range(500 if found else 0):
+                flipped = set(rng.choice(64 * words, threshold, replace=False).tolist())
+                assert min(sum(64 * w + b <= x < 64 * w + b + n for x in flipped for w, b, n in k) for k in found) <= 1
+    assert [len(simhash.keys_for(n, 1, 4)) for n in (0, 10**6, 10**9, 10**11)] == [3, 3, 10, 20]
+    with pytest.raises(ValueError):
+        simhash.keys_for(1, 1, 60)
+
+
+@pytest.mark.parametrize("j", [1, 2, 3])
+def test_op9_dense_and_chained(spark, j, monkeypatch):
+    monkeypatch.setattr(simhash, "keys_for", lambda n, words, threshold: simhash.keys(words, threshold, j))
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 40).tolist()
     fps = {}
