@@ -14,6 +14,10 @@ At threshold 4, j = 1 gives 3 keys of 21 bits and 42 rows a fingerprint, j = 2 g
 j is the least for which not over LIVING fingerprints live at an anchor in the mean, so anchors grow with the data and
 an anchor does not.
 
+Fingerprints may differ and yet crowd at an anchor. Where keys that over THIN fingerprints share bring more than CROWD to
+an anchor, its rows go into blocks by the hash of the node, and each two blocks meet in a task of their own: all pairs
+of rows still share one, so no link is lost, and no task holds more than two blocks.
+
 Documents of equal fingerprint are one node from the start. At an anchor, links are found by breadth-first growth:
 each fingerprint is compared with those of the anchor that no group has yet, so a group of n fingerprints makes n - 1
 links and no list of all its pairs. Components are then joined over anchors.
@@ -39,6 +43,11 @@ from .components import components
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Fingerprints that live at an anchor, in the mean; more make keys longer.
 LIVING = 4096
+#: Rows at an anchor beyond which it is cut into blocks of half as many; keys of up to THIN fingerprints aren't counted
+#: there: only some hundreds of keys come to one anchor.
+CROWD, THIN = 131_072, 256
+#: Fingerprints whose keys a task makes, where there are so many.
+SPREAD_NODES = 65_536
 #: Bits of a key: the code's at least, and what a long has room for beside the key's number.
 SHORTEST, LONGEST = 15, 46
 #: A task joins the links of its anchors and gives each linked node's to the least of its group; it holds about so many nodes.
@@ -155,6 +164,20 @@ def stops(key: str, longest: int) -> Column:
     return F.transform(visits, lambda a: k * (1 << LONGEST + 2) + a * 2 + F.when(a == _home(x), 1).otherwise(0))
 
 
+def crowded(nodes: DataFrame, found: list[list[tuple[int, int, int]]], longest: int) -> DataFrame:
+    """(at, blocks): anchors to which keys of over THIN fingerprints bring more than CROWD, and in how many blocks these go (3 or more)."""
+    shared = nodes.select(F.explode(numbered_keys("fp", found)).alias("key")).groupBy("key").count().where(F.col("count") > THIN)
+    at = shared.select(F.explode(stops("key", longest)).alias("anchor"), "count").groupBy(F.shiftright("anchor", 1).alias("at")).agg(F.sum("count").alias("n"))
+    return common.cut(at.where(F.col("n") > CROWD).select("at", F.ceil(F.col("n") * 2 / CROWD).cast("int").alias("blocks")), "crowded")
+
+
+def cells(node: str, blocks: str) -> Column:
+    """array<int>: the pairs of blocks, numbered, in which a node takes part at an anchor of so many blocks; just 0 at one that has none."""
+    own = F.pmod(F.xxhash64(node), F.col(blocks)).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col(blocks) - 1), lambda i: i != own)
+    return F.when(F.col(blocks).isNull(), F.array(F.lit(0))).otherwise(F.transform(others, lambda i: F.least(i, own) * F.col(blocks) + F.greatest(i, own)))
+
+
 def _grow(fp: np.ndarray, lives: np.ndarray, node: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Links that span the groups of one anchor, breadth first from those that live there: these are compared with all ungrouped, visitors with those that live there."""
     out = []
@@ -196,10 +219,10 @@ def links(nodes: DataFrame, words: int, threshold: int) -> DataFrame:
             return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
         def run(b: pd.DataFrame) -> None:
-            anchor, node = b["anchor"].to_numpy(), b["node"].to_numpy()
+            anchor, cell, node = b["anchor"].to_numpy(), b["cell"].to_numpy(), b["node"].to_numpy()
             anchor, lives = anchor >> 1, anchor & 1 == 1
             fp = np.ascontiguousarray(b[own].to_numpy(np.int64)).view(np.uint64)
-            starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            starts = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])]))
             sizes = np.diff(np.concatenate([starts, [len(b)]]))
             some = np.add.reduceat(lives.astype(np.int64), starts) > 0
             a, c = [], []
@@ -222,10 +245,10 @@ def links(nodes: DataFrame, words: int, threshold: int) -> DataFrame:
         for b in batches:
             if len(b):
                 held.append(b)
-                last = b["anchor"].iloc[-1] >> 1
-                if held[0]["anchor"].iloc[0] >> 1 != last:  # an anchor's rows may go on in the next batch
+                last, cell = b["anchor"].iloc[-1] >> 1, b["cell"].iloc[-1]
+                if held[0]["anchor"].iloc[0] >> 1 != last or held[0]["cell"].iloc[0] != cell:  # an anchor's rows may go on in the next batch
                     all_rows = pd.concat(held, ignore_index=True)
-                    done = all_rows["anchor"] // 2 != last
+                    done = (all_rows["anchor"] // 2 != last) | (all_rows["cell"] != cell)
                     run(all_rows[done])
                     if len(low) > LINKED_NODES:
                         yield stars()
@@ -235,10 +258,16 @@ def links(nodes: DataFrame, words: int, threshold: int) -> DataFrame:
         yield stars()
         common.give_back()
 
-    found = keys_for(nodes.count(), words, threshold)
-    spread = nodes.select("node", *[F.element_at("fp", i + 1).alias(c) for i, c in enumerate(own)], F.explode(numbered_keys("fp", found)).alias("key"))
-    spread = spread.select("node", *own, F.explode(stops("key", max(sum(w for _, _, w in k) for k in found))).alias("anchor"))
-    return spread.repartition(F.shiftright("anchor", 1)).sortWithinPartitions("anchor", "node").mapInPandas(compare, "a long, b long")
+    n = nodes.count()
+    found = keys_for(n, words, threshold)
+    longest = max(sum(w for _, _, w in k) for k in found)
+    blocks = crowded(nodes, found, longest)
+    # a written table of fingerprints is a few small files, its keys are not
+    spread = nodes.repartition(max(nodes.sparkSession.sparkContext.defaultParallelism, n // SPREAD_NODES), "node")
+    spread = spread.select("node", *[F.element_at("fp", i + 1).alias(c) for i, c in enumerate(own)], F.explode(numbered_keys("fp", found)).alias("key"))
+    spread = spread.select("node", *own, F.explode(stops("key", longest)).alias("anchor"))
+    spread = spread.join(blocks, F.shiftright("anchor", 1) == F.col("at"), "left").select("node", *own, "anchor", F.explode(cells("node", "blocks")).alias("cell"))
+    return spread.repartition(F.shiftright("anchor", 1), "cell").sortWithinPartitions("cell", "anchor", "node").mapInPandas(compare, "a long, b long")
 
 
 def classes(prints: DataFrame, words: int, threshold: int) -> DataFrame:

@@ -389,9 +389,12 @@ def test_op9_keys():
         simhash.keys_for(1, 1, 60)
 
 
-@pytest.mark.parametrize("j", [1, 2, 3])
-def test_op9_dense_and_chained(spark, j, monkeypatch):
+@pytest.mark.parametrize("j, crowd", [(1, None), (2, None), (3, None), (1, 50), (2, 20)])
+def test_op9_dense_and_chained(spark, j, crowd, monkeypatch):
     monkeypatch.setattr(simhash, "keys_for", lambda n, words, threshold: simhash.keys(words, threshold, j))
+    if crowd:  # anchors in blocks
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        monkeypatch.setattr(simhash, "THIN", 1)
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 40).tolist()
     fps = {}
@@ -405,6 +408,10 @@ def test_op9_dense_and_chained(spark, j, monkeypatch):
         fps[len(fps)] = base[0] ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64)))
     signed = lambda v: int(np.uint64(v).astype(np.int64))
     prints = spark.createDataFrame([(i, [signed(v)]) for i, v in fps.items()], "id long, fp array<long>")
+    if crowd:
+        found = simhash.keys(1, 4, j)
+        blocks = simhash.crowded(prints, found, max(sum(w for _, _, w in k) for k in found)).agg(F.min("blocks"), F.max("blocks")).first()
+        assert 3 <= blocks[0] < blocks[1]
     got = prints.join(simhash.classes(prints, 1, 4), "fp")
     assert {r["id"]: r["component"] for r in got.collect()} == brute_components(fps, 4)
 
