@@ -80,9 +80,12 @@ def begin(operator: str) -> None:
 
 
 def give_back() -> None:
-    """Return freed memory of a Python worker to the system, where the C library can."""
+    """Return freed memory of a Python worker to the system: Arrow's pool, then the C library's, where it can."""
     import ctypes
 
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library: it keeps its own account

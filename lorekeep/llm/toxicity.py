@@ -41,6 +41,9 @@ def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 1)
 
 
+common.HELD["toxicity"] = word_hash.cache_clear
+
+
 def _scramble(h: np.ndarray) -> np.ndarray:
     h = h * _MIX
     h = (h ^ (h >> np.uint64(29))) * _MIX2
@@ -100,7 +103,10 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCH
                 model.update(f, y)
         w = model.weights(model.z, model.n)
         at = np.flatnonzero(w)
+        rows.clear()
         yield pd.DataFrame({"at": [*at.tolist(), -1], "w": [*w[at].tolist(), model.bias()]})
+        word_hash.cache_clear()
+        common.give_back()
 
     # the sample's texts are all that moves: TakeOrdered leaves one partition in this order
     sample = labelled.where("y IN (0, 1)").withColumn("o", sample_order("id")).orderBy("o", "id", "text", "y").limit(sample_rows)
