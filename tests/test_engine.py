@@ -165,6 +165,34 @@ def test_fold_index_equals_all_pairs():
         kept.add(n, mine)
 
 
+def test_fold_compares_keys_not_rows(monkeypatch):
+    """Copies cost no comparison each, stored ones and ones that are named by a reference too."""
+    calls = []
+    for name in ("shares", "named_by"):
+        monkeypatch.setattr(fold.Probe, name, lambda *a, _own=getattr(fold.Probe, name): calls.append(1) or _own(*a))
+    stored = [item(i, "use the sqlite file store", is_old=True, id=f"o{i}") for i in range(300)]
+    new = [item(300 + i, "use the sqlite file store", blocks=(i + 2,)) for i in range(300)] + [item(700 + i, f"now postgres plan {'abcde'[i % 5]}", previous="sqlite file") for i in range(300)]
+    out = fold.fold_decisions([*stored, *new])
+    assert out[0]["blocks"] == list(range(1, 302)) and len(out[0]["evidence"]) == 301 and {r["status"] for r in out[:300]} == {"superseded"} and len(out) == 301
+    stored = [item(i, "fix the csv loader module", "todo", is_old=True, field="todo_tasks", id=f"o{i}") for i in range(300)]
+    (one,) = fold.fold_tasks([*stored, *[item(300 + i, "fix the csv loader module", "bug", blocks=(i + 2,)) for i in range(300)]])
+    assert (one["id"], one["status"], one["blocks"]) == ("o0", "bug", list(range(1, 302))) and len(calls) < 100
+
+
+def test_fold_of_projects(spark):
+    """Small projects share a task; each is folded alone and in order, whatever the order of its rows, and nulls come through."""
+    import random
+
+    rng = random.Random(5)
+    made = [item(i, rng.choice(["use the sqlite file store", "use the sqlite file", "now postgres", ""]), rng.choice(["active", "disputed"]), is_old=i < 10, project=f"p{p}", blocks=(i % 7 + 1,), previous=rng.choice(["", "sqlite"]), reason=rng.choice(["", None])) for p in range(30) for i in range(20)]
+    want = {(p, n): r for p in {r["project"] for r in made} for n, r in enumerate(fold.fold_decisions([dict(r) for r in made if r["project"] == p]))}
+    got = fold.fold(table(spark, *rng.sample(made, len(made))), "decisions").collect()
+    assert len(got) == len(want)
+    for r in got:
+        own = want[r["project"], r["pos"]]
+        assert r.asDict(True) == {c: own[c] for c in r.asDict()} | {"pos": r["pos"]}
+
+
 def test_facts(spark):
     x = [item(i, *v, [i + 1], field="technologies") for i, v in enumerate([("SQLite", "active", "MEDIUM"), ("sqlite", "superseded", "HIGH"), ("SQLite", "active", "LOW")])]
     r = reconcile.merge_items(table(spark, *x)).first()
