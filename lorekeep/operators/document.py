@@ -40,7 +40,10 @@ def _is(v: Column, kinds: str) -> Column:
 
 def _text(v: Column, path: str = "$") -> Column:
     """A scalar as text; '' for null and what isn't there."""
-    x = _get(v, path)
+    return _scalar(_get(v, path))
+
+
+def _scalar(x: Column) -> Column:
     return F.coalesce(F.when(_is(x, "STRING|BIGINT|DOUBLE|DECIMAL|BOOLEAN"), _get(x, "$", "string")), F.lit(""))
 
 
@@ -120,19 +123,24 @@ def read_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = x.select("project", F.when(first_version, name).otherwise(_text(v, "$.display_name")).alias("display_name"), F.coalesce(_get(v, "$.aliases", "array<string>"), F.array().cast("array<string>")).alias("aliases"),
                     _text(v, "$.summary").alias("summary"), _text(v, "$.purpose").alias("purpose"), created.alias("created_at"), _text(v, "$.last_updated").alias("last_updated"), history.alias("update_history"))
     lists = F.array(*[F.struct(F.lit(f).alias("field"), _get(v, path, "array<variant>").alias("list")) for f, path in _paths()])
-    e = x.select("project", old.alias("old"), F.explode(lists).alias("l")).select("project", "old", "l.field", F.posexplode("l.list").alias("pos", "e"))
-    field, item, was = F.col("field"), F.col("e"), F.col("old")
-    titled = field.isin("decisions", *TASK_FIELDS)
-    text = F.when(_is(item, "OBJECT"), F.when(titled, _either(item, "title", "text")).otherwise(_either(item, "text", "title"))).otherwise(t.strip(_text(item)))
+    e = x.select("project", old.alias("old"), F.explode(F.filter(lists, lambda l: l["list"].isNotNull())).alias("l")).select("project", "old", "l.field", F.posexplode("l.list").alias("pos", "e"))
+    # in steps, each of which uses the last one's columns several times: so nothing is evaluated twice, and no method grows too long to be compiled
+    parts = ["title", "text", "status", "confidence", "id"]
+    e = e.select("*", _is(F.col("e"), "OBJECT").alias("_object"), *[_get(F.col("e"), f"$.{c}").alias(f"_{c}") for c in parts])
+    e = e.select("project", "old", "field", "pos", "e", "_object", F.col("field").isin("decisions", *TASK_FIELDS).alias("_titled"), F.when(~F.col("_object"), _scalar(F.col("e"))).alias("_plain"), *[_scalar(F.col(f"_{c}")).alias(f"_{c}") for c in parts])
+    field, item, was, titled = F.col("field"), F.col("e"), F.col("old"), F.col("_titled")
+    first, second = F.when(titled, F.col("_title")).otherwise(F.col("_text")), F.when(titled, F.col("_text")).otherwise(F.col("_title"))
+    e = e.withColumn("_first", first).withColumn("_made", t.strip(F.when(~F.col("_object"), F.col("_plain")).when(F.col("_first") != "", F.col("_first")).otherwise(second)))
+    text = F.col("_made")
     kind = F.when(field.isin(*AGENT_FIELDS), F.concat(F.lit("agent_instructions."), field)).when(field.isin(*TASK_FIELDS), "tasks").otherwise(field)
     by_list = F.create_map(*[x for k, s in TASK_FIELDS.items() for x in (F.lit(k), F.lit(s))])
-    raw = _text(item, "$.status")
+    raw = F.col("_status")
     allowed = F.when(field.isin(*TASK_FIELDS), raw.isin(*TASK_FIELDS.values())).when(field == "decisions", raw.isin("active", "superseded")).otherwise(raw.isin("active", "superseded", "disputed"))
     evidence = F.from_json(F.to_json(_get(item, "$.evidence")), EVIDENCE)
     blocks = F.coalesce(_get(_get(item, "$.source_blocks"), "$", "array<int>"), F.array().cast("array<int>"))
     given = [F.when(field == "decisions", _text(item, f"$.{c}")).otherwise("").alias(c) for c in ("reason", "date", "previous")]
-    items = e.select("project", "field", F.col("pos").cast("long").alias("pos"), F.when(was, t.stable_id(kind, text)).otherwise(_text(item, "$.id")).alias("id"), F.when(was, text).otherwise(F.when(titled, _text(item, "$.title")).otherwise(_text(item, "$.text"))).alias("text"),
-                     F.when(~was | allowed, raw).otherwise(F.coalesce(by_list[field], F.lit("active"))).alias("status"), F.when(was, t.clean_confidence(F.when(_text(item, "$.confidence") != "", _text(item, "$.confidence")))).otherwise(_text(item, "$.confidence")).alias("confidence"),
+    items = e.select("project", "field", F.col("pos").cast("long").alias("pos"), F.when(was, t.stable_id(kind, text)).otherwise(F.col("_id")).alias("id"), F.when(was, text).otherwise(F.col("_first")).alias("text"),
+                     F.when(~was | allowed, raw).otherwise(F.coalesce(by_list[field], F.lit("active"))).alias("status"), F.when(was, t.clean_confidence(F.when(F.col("_confidence") != "", F.col("_confidence")))).otherwise(F.col("_confidence")).alias("confidence"),
                      blocks.alias("blocks"), F.when(was, F.array().cast(EVIDENCE)).otherwise(evidence).alias("evidence"), *given)
     return docs, items
 

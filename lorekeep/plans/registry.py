@@ -505,7 +505,9 @@ def g3(spark, sf_dir):
     n = F.col("event_id")
     doc = F.concat(F.lit('{"schema_version":'), (n % 2 + 1).cast("string"), F.lit(',"project":"p'), n.cast("string"), F.lit('","technologies":["Tool '), (n % 7).cast("string"), F.lit('"],"known_bugs":[{"text":"bug '), (n % 5).cast("string"), F.lit('","confidence":"'), F.when(n % 2 == 0, "low").otherwise("odd"),
                    F.lit('","status":"'), F.when(n % 3 == 0, "todo").otherwise("none"), F.lit('"}],"agent_instructions":{"rules":[" brief "]}}'))
-    items = document.read_documents(read(spark, sf_dir, "events").select(F.concat(F.lit("p"), n.cast("string")).alias("project"), doc.alias("content")))[1]
+    # few bytes and much work each, so a file that Spark reads in one task or two is dealt out first
+    e = read(spark, sf_dir, "events").select("event_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
+    items = document.read_documents(e.select(F.concat(F.lit("p"), n.cast("string")).alias("project"), doc.alias("content")))[1]
     return items.select("project", "field", "pos", "id", "text", "status", "confidence")
 
 

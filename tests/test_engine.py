@@ -263,6 +263,15 @@ def test_migrations(spark):
     assert document.document_errors(document.write_documents(docs, items)).collect() == []
 
 
+def test_documents_are_read_once_an_item(spark):
+    """No expression on a document's JSON is written out more than a few times in the plan: the parts of an item are taken once each."""
+    files = spark.createDataFrame([("p", '{"schema_version":2,"ideas":[{"text":" a ","status":"idea"},{"title":"b","text":"c"},"d"],"technologies":["T",{"title":"u"},5]}')], "project string, content string")
+    items = document.read_documents(files)[1].select("project", "field", "pos", "id", "text", "status", "confidence")
+    assert sorted((r["field"], r["pos"], r["text"], r["status"]) for r in items.collect()) == [("ideas", 0, "a", "idea"), ("ideas", 1, "b", "idea"), ("ideas", 2, "d", "idea"), ("technologies", 0, "T", "active"), ("technologies", 1, "u", "active"), ("technologies", 2, "5", "active")]
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert max(plan.count(f"$.{c}") for c in ("title", "text", "status", "confidence", "id")) <= 2
+
+
 def test_documents_round_trip(spark):
     task = {"id": "0" * 20, "title": 'quote " and ё', "status": "bug", "confidence": "LOW", "source_blocks": [3], "evidence": []}
     doc = stored(summary='a "b"\n', aliases=["x"], technologies=[fact("b"), fact("a")], known_bugs=[task], decisions=[{"id": "1" * 20, "title": "t", "reason": "r", "date": "", "previous": "p", "status": "superseded", "confidence": "HIGH", "source_blocks": [], "evidence": []}], update_history=[{"date": "d", "source": "s", "mode": "create"}], created_at="c", last_updated="l")
