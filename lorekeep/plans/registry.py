@@ -526,15 +526,18 @@ FROM runs r JOIN best b USING (history_id, project) LEFT JOIN counts c USING (hi
 @query("x7_documents", _X7)
 def x7(spark, sf_dir):
     """Two runs, each over its part of every history's relevant messages: the second finds what the first made."""
-    _, p, rel = _flow(spark, sf_dir)
+    m = synth.messages(spark, sf_dir)
+    p = cut(projects(m), "projects")  # searching all messages for names is dear, and both runs ask for projects again and again
     key = F.concat_ws(".", F.col("history_id").cast("string"), "project")
-    rel = cut(rel, "relevant")
+    rel = cut(extract.relevant(m, p), "relevant")
     found = cut(run.long_items(extract.items(extract.lines(rel), extract.technologies(rel)).withColumn("project", key)), "found")
-    names = p.withColumn("project", key).select("project", "display_name")
+    parts = (F.lit(1), F.lit(20)), (F.lit(21), F.lit(1 << 30))
+    seen = rel.groupBy(key.alias("project")).agg(*[F.max(F.col("number").between(*part)).alias(f"in_{i}") for i, part in enumerate(parts)])
+    names = cut(p.withColumn("project", key).select("project", "display_name").join(seen, "project"), "names")
     docs = items = None
-    for part, alias, summary, purpose, day in (((F.lit(1), F.lit(20)), "one", "first summary", f"{t.NEEDS_REVIEW} not sure", "2024-01-01"), ((F.lit(21), F.lit(1 << 30)), "two", f"{t.NEEDS_REVIEW} unclear", "second purpose", "2024-02-02")):
-        there = rel.withColumn("project", key).where(F.col("number").between(*part)).select("project").distinct()
-        c = names.join(there, "project").withColumn("aliases", F.array(F.lit(alias)))
+    for i, (part, alias, summary, purpose, day) in enumerate(((parts[0], "one", "first summary", f"{t.NEEDS_REVIEW} not sure", "2024-01-01"), (parts[1], "two", f"{t.NEEDS_REVIEW} unclear", "second purpose", "2024-02-02"))):
+        there = names.where(f"in_{i}")
+        c = there.select("project", "display_name", F.array(F.lit(alias)).alias("aliases"))
         scalars = there.select("project", F.lit(summary).alias("summary"), F.lit(purpose).alias("purpose"))
         new = reconcile.reconcile(docs, items, c, scalars, found.where(F.element_at("blocks", 1).between(*part)), alias, day)
         new = [cut(x, "x7") for x in new]

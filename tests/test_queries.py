@@ -26,6 +26,16 @@ def test_spelled_pairs(spark):
     assert {tuple(r) for r in QUERIES["p6_spelled_pairs"](spark, SF).collect()} == want and want
 
 
+def test_documents_search_messages_once(spark, monkeypatch):
+    """Neither run goes back to the events: projects are found once."""
+    from lorekeep.operators import reconcile
+
+    plans = []
+    monkeypatch.setattr(reconcile, "cut", lambda df, tag, _own=reconcile.cut: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or _own(df, tag))
+    out = QUERIES["x7_documents"](spark, SF)
+    assert len(plans) == 2 and not any("user_id" in x for x in [*plans, out._jdf.queryExecution().optimizedPlan().toString()])
+
+
 def test_entry():
     import __spark_entry__ as e
 
