@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,8 +38,15 @@ def fold(c: Column) -> Column:
     return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is made once: the optimizer copies a column into each place where it is named, but not into a lambda."""
+    return F.transform(F.array(value), f)[0]
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Without blanks at both ends; the pattern runs only where an end is one (line ends are blanks, so $ asks for no more)."""
+    ends = lambda v: F.concat(F.substring(v, 1, 1), F.substring(v, -1, 1)).rlike(r"(?U)[\s\x1c-\x1f]")
+    return bound(c, lambda v: F.when(ends(v), F.regexp_replace(v, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")).otherwise(v))
 
 
 def collapse(c: Column) -> Column:
@@ -45,8 +54,9 @@ def collapse(c: Column) -> Column:
 
 
 def has_word(c: Column, words: str) -> Column:
-    """One of the alternatives stands as whole words in folded text."""
-    return c.rlike(rf"(?U)\b({words})\b")
+    """One of the alternatives stands as whole words in folded text; the pattern runs only where the letters of one are found."""
+    some = [F.contains(c, F.lit(re.sub(r"\[\w+\]\?$", "", w))) for w in words.split("|")]
+    return reduce(Column.__or__, some) & c.rlike(rf"(?U)\b({words})\b")
 
 
 def stable_id(kind: Column, text: Column) -> Column:
@@ -92,7 +102,8 @@ def refers(text_key: Column, reference_key: Column) -> Column:
 
 def useful_lines(text: Column) -> Column:
     """array<string>: lines without leading bullets and numbers, stripped, of 8 to 500 characters."""
-    raw = F.split(text, TERMINATORS)
+    # split() compiles its pattern for every row; the guard's is compiled once, and its characters begin all terminators
+    raw = F.when(~text.rlike(TERMINATORS.partition("|")[2]), F.array(text)).otherwise(F.split(text, TERMINATORS))
     bare = F.transform(raw, lambda x: strip(F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]*[-*\d.)]+[\s\x1c-\x1f]*", "")))
     return F.filter(bare, lambda x: F.length(x).between(8, 500))
 
@@ -123,12 +134,12 @@ def _nfkc(c: Column) -> Column:
 
 def safe_name(c: Column, ascii_only: bool = False) -> Column:
     """A project's file-safe name; null if nothing is left. ascii_only: the caller knows that NFKC changes nothing."""
-    x = F.lower(strip(c if ascii_only else _nfkc(c)))
+    plain = F.length(c) == F.octet_length(c)  # ASCII is its own composition: workers get nulls in its place
+    x = F.lower(strip(c if ascii_only else F.when(plain, c).otherwise(_nfkc(F.when(~plain, c)))))
     x = F.regexp_replace(F.regexp_replace(x, r"(?U)[\s-]+", "_"), r"(?U)[^\w.]", "")
     x = F.regexp_replace(x, r"^[._]+|[._]+$", "")
-    x = F.when(fold(x).isin(RESERVED_NAMES), F.concat(F.lit("project_"), x)).otherwise(x)
-    x = F.regexp_replace(F.substring(x, 1, 80), r"[. ]+$", "")
-    return F.when(x != "", x)
+    x = bound(x, lambda v: F.when(fold(v).isin(RESERVED_NAMES), F.concat(F.lit("project_"), v)).otherwise(v))
+    return bound(F.regexp_replace(F.substring(x, 1, 80), r"[. ]+$", ""), lambda v: F.when(v != "", v))
 
 
 def title(c: Column) -> Column:

@@ -18,10 +18,13 @@ NAMED = r"(?iU)(?:проект|project)\s*[«\"']?\s*[:—-]?\s*([A-Za-zА-Яа-
 
 def mentions(messages: DataFrame, ascii_only: bool = False) -> DataFrame:
     """(history_id, number, pattern, place, raw, name) of every project name found."""
-    found = F.array(*[F.struct(F.lit(i).alias("pattern"), F.regexp_extract_all("text", F.lit(p), 1).alias("hits")) for i, p in enumerate((IDENTIFIER, NAMED))])
+    hits = [F.when(F.contains("text", F.lit("_")), F.regexp_extract_all("text", F.lit(IDENTIFIER), 1)).otherwise(F.array().cast("array<string>")), F.regexp_extract_all("text", F.lit(NAMED), 1)]
+    bare = lambda h: F.regexp_replace(h, r"""^[. ,'"»]+|[. ,'"»]+$""", "")
+    found = F.array(*[F.struct(F.lit(i).alias("pattern"), F.transform(h, bare).alias("hits")) for i, h in enumerate(hits)])
     rows = messages.select("history_id", "number", F.explode(found).alias("f")).select("history_id", "number", "f.pattern", F.posexplode("f.hits").alias("place", "raw"))
-    rows = rows.withColumn("raw", F.regexp_replace("raw", r"""^[. ,'"»]+|[. ,'"»]+$""", "")).withColumn("name", t.safe_name(F.col("raw"), ascii_only))
-    return rows.where(F.col("name").isNotNull() & ~F.col("name").isin(t.GENERIC_NAMES) & ~F.col("name").rlike("^(test_|memory_)"))
+    # exploded and not filtered: a name that a filter asks for several times is made several times
+    fine = lambda n: n.isNotNull() & ~n.isin(t.GENERIC_NAMES) & ~n.rlike("^(test_|memory_)")
+    return rows.select("*", F.explode(F.filter(F.array(t.safe_name(F.col("raw"), ascii_only)), fine)).alias("name"))
 
 
 def candidates(messages: DataFrame, ascii_only: bool = False) -> DataFrame:
@@ -59,7 +62,8 @@ def technologies(rel: DataFrame) -> DataFrame:
 
 def lines(rel: DataFrame) -> DataFrame:
     """Useful lines with all their classes."""
-    x = rel.select("history_id", "project", "display_name", "number", "date", F.posexplode(t.useful_lines(F.col("text"))).alias("line_no", "line")).withColumn("low", t.fold(F.col("line")))
+    both = F.transform(t.useful_lines(F.col("text")), lambda x: F.struct(x.alias("line"), t.fold(x).alias("low")))  # folded here, once, and not by each class
+    x = rel.select("history_id", "project", "display_name", "number", "date", F.posexplode(both).alias("line_no", "l")).select("history_id", "project", "display_name", "number", "date", "line_no", "l.line", "l.low")
     status = F.when(t.has_word(F.col("low"), t.COMPLETED), "completed").when(t.has_word(F.col("low"), t.BUG), "bug").when(t.has_word(F.col("low"), t.TODO), "todo").when(t.has_word(F.col("low"), t.IDEA), "idea")
     return (
         x.withColumn("status", status).withColumn("is_decision", t.has_word(F.col("low"), t.DECISION)).withColumn("is_constraint", t.has_word(F.col("low"), t.CONSTRAINT))

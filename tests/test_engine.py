@@ -3,12 +3,13 @@
 import hashlib
 import json
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as t
-from lorekeep.operators import chunk, document, fold, reconcile, reduce
+from lorekeep.operators import chunk, document, extract, fold, reconcile, reduce
 from lorekeep.sources import transcripts
 from lorekeep.sources.store import Stale, Store
 
@@ -193,6 +194,54 @@ def test_fold_of_projects(spark):
         assert r.asDict(True) == {c: own[c] for c in r.asDict()} | {"pos": r["pos"]}
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_and_lines_are_made_once(spark):
+    """The optimizer copies a column to each place that names it; a name's patterns and a line's folding must not be copied."""
+    m = spark.createDataFrame([(1, 1, "user", None, "text")], "history_id long, number int, role string, date string, text string")
+    p = plan(extract.candidates(m))
+    assert p.count(r"[^\w.]") == 1 and p.count("own(") == 1
+    rel = m.select("*", F.lit("p").alias("project"), F.lit("P").alias("display_name"))
+    assert plan(extract.lines(rel).where("status IS NOT NULL").select("status", "low")).count("lower(") == 1
+
+
+def test_mentions_of_odd_names(spark):
+    texts = ["Project: Aｌｐｈａ２ and проект «ἀτλ_ας», x_test_1", "project: con project: lpt1. memory_json test_abc my_tool. my_tool-2_b", "no names", "PROJECT - ʼnab_c and ǅabc_d_", "project 'x..' project: ___ab", None, ""]
+    m = spark.createDataFrame(list(enumerate(texts)), "history_id long, text string").withColumn("number", F.lit(1))
+    found = F.array(*[F.struct(F.lit(i).alias("pattern"), F.regexp_extract_all("text", F.lit(x), 1).alias("hits")) for i, x in enumerate((extract.IDENTIFIER, extract.NAMED))])
+    raws = m.select("history_id", F.explode(found).alias("f")).select("history_id", "f.pattern", F.posexplode("f.hits").alias("place", "raw")).collect()
+    want = []
+    for r in raws:
+        raw_ = re.sub(r"""^[. ,'"»]+|[. ,'"»]+$""", "", r["raw"])
+        x = unicodedata.normalize("NFKC", raw_).strip().lower()
+        x = re.sub(r"^[._]+|[._]+$", "", re.sub(r"[^\w.]", "", re.sub(r"[\s-]+", "_", x)))
+        x = "project_" + x if x in t.RESERVED_NAMES else x
+        x = re.sub(r"[. ]+$", "", x[:80])
+        if x and x not in t.GENERIC_NAMES and not re.match("test_|memory_", x):
+            want.append((r["history_id"], r["pattern"], r["place"], raw_, x))
+    got = [tuple(r) for r in extract.mentions(m).select("history_id", "pattern", "place", "raw", "name").collect()]
+    assert sorted(got) == sorted(want) and {"alpha2", "project_con", "project_lpt1", "my_tool"} <= {w[-1] for w in want}
+
+
+def test_guarded_patterns_equal_plain_ones(spark):
+    """strip, has_word and useful_lines run their patterns on some rows only; all rows come out as without that."""
+    import random
+
+    rng = random.Random(7)
+    parts = [" ", "\n", "\r\n", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2028", "\u3000", "\u200b", "a", "todo", "надо", "реализована", "реализовано_", "xtodo", "не работает", "done", "😀", "- ", "12. ", "long words here"]
+    texts = [None, "", *parts, *["".join(rng.choices(parts, k=rng.randint(2, 9))) for _ in range(1500)]]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    x = F.col("x")
+    ends = lambda c: F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    cut = F.transform(F.split(x, t.TERMINATORS), lambda l: ends(F.regexp_replace(l, r"(?U)^[\s\x1c-\x1f]*[-*\d.)]+[\s\x1c-\x1f]*", "")))
+    pairs = [(t.strip(x), ends(x)), (t.useful_lines(x), F.filter(cut, lambda l: F.length(l).between(8, 500)))]
+    pairs += [(t.has_word(x, w), x.rlike(rf"(?U)\b({w})\b")) for w in (t.COMPLETED, t.BUG, t.TODO, t.IDEA, t.DECISION, t.CONSTRAINT, t.QUESTION)]
+    for a, b in pairs:
+        assert df.where(~a.eqNullSafe(b)).select("x").collect() == []
+
+
 def test_facts(spark):
     x = [item(i, *v, [i + 1], field="technologies") for i, v in enumerate([("SQLite", "active", "MEDIUM"), ("sqlite", "superseded", "HIGH"), ("SQLite", "active", "LOW")])]
     r = reconcile.merge_items(table(spark, *x)).first()
